@@ -123,3 +123,15 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
     for k in range(size):
         total = mix(total * _ROLL[k % 5] + words[k : k + n])
     return np.unique(total)
+
+
+def dealing_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions an int key that ``repartition(n, key)`` deals to it.
+
+    Keys 0..n-1 themselves would collide, so that some partitions got several and others none.
+    """
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 64 * n + 64, 1, 1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()
+    found = {r.p: r.k for r in rows}
+    return [found.get(p, 64 * n + 64 + p) for p in range(n)]
