@@ -59,14 +59,18 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 _ROLL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+_S30, _S27, _S31, _M1, _M2 = (np.uint64(v) for v in (30, 27, 31, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _S30)
+    x *= _M1
+    x ^= x >> _S27
+    x *= _M2
+    x ^= x >> _S31
+    return x
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +91,25 @@ _LOWER[65:91] += 32
 
 def spans(raw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs where ``inside`` holds."""
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    padded = np.zeros(len(inside) + 2, bool)
+    padded[1:-1] = inside
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    return edge[::2], edge[1::2]
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end) of ``raw``; equal bytes give equal hashes."""
     power, inverse = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    if not len(start):
+        return np.empty(0, np.uint64)
+    terms = _BYTE[raw]
+    terms *= power[: len(raw)]
+    edges = np.empty(2 * len(start), np.int64)
+    edges[::2], edges[1::2] = start, end
+    if edges[-1] == len(raw):
+        terms = np.append(terms, np.uint64(0))
+    sums = np.add.reduceat(terms, edges)[::2]
+    return mix(sums * inverse[start] + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -119,10 +132,15 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
             seed = mix(seed * _ROLL[k % 5] + words[k])
         return seed
     n = len(words) - size + 1
-    total = np.full(n, np.uint64(size), np.uint64)
-    for k in range(size):
-        total = mix(total * _ROLL[k % 5] + words[k : k + n])
-    return np.unique(total)
+    total = words[:n] * _ROLL[0]
+    for k in range(1, size):
+        total += words[k : k + n] * (_ROLL[k % 5] + np.uint64(2 * (k // 5)))
+    total = mix(total)
+    total.sort()
+    keep = np.empty(n, bool)
+    keep[0] = True
+    np.not_equal(total[1:], total[:-1], out=keep[1:])
+    return total[keep]
 
 
 def dealing_keys(spark: SparkSession, n: int) -> list[int]:
