@@ -17,6 +17,25 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.license_scan import document_licenses
+
+    return document_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.quality import scored
+
+    rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", F.round("_p_reject", 6).alias("p_reject"), F.round("_p_weak", 6).alias("p_weak"), F.col("_keep").alias("keep"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.decontaminate import decontamination_report
 
@@ -36,6 +55,12 @@ def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(docs).select("doc_id", "text", "n_chars", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"))
 
 
+def op8_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.jaccard_join import jaccard_components
 
@@ -52,9 +77,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_winnowing": op6_winnowing,
     "op7_sentence_span_dedup": op7_sentence_span_dedup,
+    "op8_warc_converter": op8_warc_converter,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_formatting": op10_chat_formatting,
 }
@@ -71,7 +100,7 @@ weighted AS (
 levels AS (
   SELECT *, coalesce(sum(cap) OVER o, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open_w
   FROM weighted WINDOW o AS (ORDER BY cap / w, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lvl AS (SELECT min((amount - capped) / open_w) FILTER (WHERE (amount - capped) / open_w * w <= cap) AS l FROM levels),
+lvl AS (SELECT arg_min((amount - capped) / open_w, struct_pack(r := cap / w, k := rnk)) FILTER (WHERE (amount - capped) / open_w * w <= cap) AS l FROM levels),
 targets AS (SELECT source, source_size, least(cap, w * l) AS target FROM weighted, lvl),
 plan AS (SELECT *, floor(target / source_size) AS whole, target - floor(target / source_size) * source_size AS rest FROM targets),
 buckets AS (
