@@ -1,10 +1,6 @@
 """All registered queries of the core engine with their oracle SQL, gathered from the plan modules."""
 
-from __future__ import annotations
+from plumbline.plans import cohort, labels, ranking  # noqa: F401
+from plumbline.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
