@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as literals of the plan: no RDD and no Python worker behind them."""
+    from pyspark.sql import functions as F
+
+    fields = [x.split() for x in schema.split(", ")]
+    values = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields, strict=True)]) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(values))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

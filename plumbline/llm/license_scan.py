@@ -20,6 +20,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import literal_rows
+
 #: Usual header sentences by licence identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", "This software is released under the MIT License, see LICENSE for details.", "Licensed under the MIT license."),
@@ -66,13 +68,13 @@ def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str
 def _best(units: DataFrame, spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """``path, unit, tokens`` to ``path, license, cosine``: the best template of any unit of a file, if it reaches the threshold."""
     rows, unknown, _ = _vectors(templates)
-    table = spark.createDataFrame(rows, "tpl int, license string, token string, w double")  # a few hundred rows, fixed
+    table = literal_rows(spark, rows, "tpl int, license string, token string, w double")  # a few hundred rows, fixed
     idf_of = {}
     texts = len({k for k, *_ in rows})
     df = Counter(t for _, _, t, _ in rows)
     for t, n in df.items():
         idf_of[t] = math.log((1 + texts) / (1 + n)) + 1
-    idf = spark.createDataFrame(list(idf_of.items()), "token string, idf double")
+    idf = literal_rows(spark, list(idf_of.items()), "token string, idf double")
     counts = units.select("path", "unit", F.explode("tokens").alias("token")).groupBy("path", "unit", "token").agg(F.count("*").alias("n"))
     weighted = counts.join(F.broadcast(idf), "token", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown)))
     norms = weighted.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

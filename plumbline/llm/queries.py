@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import literal_rows, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.chat_format import PROBE, digests, formatted
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    probe = literal_rows(spark, PROBE, "conv_id bigint, turn bigint, role string, text string")
     return digests(formatted(turns.unionByName(probe)))
 
 
