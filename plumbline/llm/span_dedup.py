@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at a word that ends in . ! or ? and at line breaks; a sentence of more
-than ``LONG`` words is taken in pieces of so many). Every run of ``RUN`` consecutive sentences that
-has at least ``LEAST`` words is hashed. Of all places with one hash the first, in the order of
+than ``LONG`` words is taken in pieces of so many). A run is the fewest consecutive sentences, ``RUN``
+at least, that have ``LEAST`` words; the runs that begin at each sentence and those that end at each
+are hashed, so that both ends of a repeated passage are covered. Of all places with one hash the first, in the order of
 (doc_id, text hash, place), stays; the sentences that any other covers are removed.
 
 In each task the smallest place of a hash is found before anything is shuffled: the others are known
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import _LOWER, _ROLL, _SPACE, cut, dealing_keys, mix, partitions, span_hashes, spans
 
-RUN, LEAST, LONG = 3, 12, 16
+RUN, LEAST, LONG = 3, 12, 16  # RUN and LEAST below 16
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
@@ -43,23 +44,33 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return raw, np.flatnonzero(place % LONG == 0), start, end
 
 
-def span_keys(text: str) -> np.ndarray:
-    """A hash for each run of sentences, 0 where the run has too few words."""
+def span_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of each run; a place is 16 times its first sentence plus its number of sentences.
+
+    A sentence has a word at least, so a run has at most ``max(RUN, LEAST)`` sentences, below 16.
+    """
     raw, first, start, end = sentences(text)
-    n = len(first) - RUN + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+    m = len(first)
+    if m < RUN:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     words = span_hashes(raw, start, end)
     bound = np.append(first, len(start))
     inside = np.arange(len(words)) - np.repeat(first, np.diff(bound))
     # a sentence's hash depends on its words and their places in it
     own = np.add.reduceat(mix(words + mix(inside.astype(np.uint64) + np.uint64(1))), first)
     own = mix(own + np.diff(bound).astype(np.uint64))
-    total = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        total = mix(total * _ROLL[k] + own[k : k + n])
-    total |= np.uint64(1)
-    return np.where(bound[RUN:] - bound[:n] >= LEAST, total, np.uint64(0))
+    at = np.arange(m)
+    until = np.maximum(at + RUN, np.searchsorted(bound, bound[:-1] + LEAST))
+    since = np.minimum(at + 1 - RUN, np.searchsorted(bound, bound[1:] - LEAST, "right") - 1)
+    x, y = at[until <= m], until[until <= m]
+    p, q = since[since >= 0], at[since >= 0] + 1
+    places = np.union1d(x * 16 + (y - x), p * 16 + (q - p))
+    x, n = places >> 4, places & 15
+    total = np.zeros(len(places), np.uint64)
+    for k in range(int(n.max(initial=0))):
+        on = n > k
+        total[on] = mix(total[on] * _ROLL[k % 5] + own[x[on] + k])
+    return total + n.astype(np.uint64), places
 
 
 def without(text: str, removed: np.ndarray) -> str:
@@ -121,10 +132,9 @@ def _emitter(keys: list[int]):
 
         for batch in batches:
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                key = span_keys(text.as_py())
-                at = np.flatnonzero(key)
+                key, at = span_keys(text.as_py())
                 if len(at):
-                    for column, v in zip(rows, (key[at], np.full(len(at), doc), np.full(len(at), h), at), strict=True):
+                    for column, v in zip(rows, (key, np.full(len(at), doc), np.full(len(at), h), at), strict=True):
                         column.append(v)
                     held += len(at)
                 if held > 1_000_000:
@@ -201,8 +211,8 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 removed = np.zeros(count, bool)
                 for blob in places.as_py() or ():
                     at = np.frombuffer(blob, np.uint32).astype(np.int64)
-                    for s in range(RUN):
-                        removed[at + s] = True
+                    for s in range(16):
+                        removed[(at >> 4)[(at & 15) > s] + s] = True
                 if removed.any():
                     t = without(t, removed)
                 texts.append(t)

@@ -189,18 +189,20 @@ def sentences(text):
 def test_span_dedup(spark):
     passage = ". ".join(words(s, 9).replace(".", "") for s in range(8)) + "."
     rows = [(k, f"Start {k} a b c. {words(k, 30)}\n{passage} End {k}.", "en", "s", 0) for k in range(1, 7)]
-    rows += [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, "Be. To. Of.", "en", "s", 0), (53, "Be. To. Of.", "en", "s", 0), (54, passage, "en", "s", 0), (55, passage + "\n" + passage, "en", "s", 0), rows[2], (None, passage, "en", "s", 0)]
+    rows += [(50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, "Be. To. Of.", "en", "s", 0), (53, "Be. To. Of.", "en", "s", 0), (54, passage, "en", "s", 0), (56, f"Once. {'Is it. ' * 40}", "en", "s", 0), (57, f"Other words here. {'Is it. ' * 40}", "en", "s", 0), (55, passage + "\n" + passage, "en", "s", 0), rows[2], (None, passage, "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
     seen, removed = {}, defaultdict(set)
     for k, t, *_ in sorted({r for r in rows if r[0] is not None and r[1]}, key=lambda r: r[0]):
         s = sentences(t)
-        for i in range(len(s) - 2):
-            key = tuple(map(tuple, s[i : i + 3]))
-            if sum(map(len, key)) >= 12:
-                if key in seen:
-                    removed[k] |= {i, i + 1, i + 2}
-                else:
-                    seen[key] = k
+        enough = lambda a, b: b - a >= 3 and sum(map(len, s[a:b])) >= 12
+        ahead = {(a, min(b for b in range(len(s) + 1) if enough(a, b))) for a in range(len(s)) if enough(a, len(s))}
+        back = {(max(a for a in range(len(s)) if enough(a, b)), b) for b in range(len(s) + 1) if enough(0, b)}
+        for a, b in sorted(ahead | back):
+            key = tuple(map(tuple, s[a:b]))
+            if key in seen:
+                removed[k] |= set(range(a, b))
+            else:
+                seen[key] = k
     got = span_dedup(docs).collect()
     assert len(got) == len(rows)
     for r in got:
