@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import _LOWER, _SPACE, mix, span_hashes, spans
 
 #: Bounds of what is fitted on: labelled rows for the lexicon, documents for the scorer.
-LABELLED_ROWS, TRAIN_ROWS = 4000, 6000
+LABELLED_ROWS, TRAIN_ROWS = 3000, 3000
 DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: Beginnings of words that go on for at most ``REST`` bytes.
@@ -67,6 +67,11 @@ def tokens(text: str) -> np.ndarray:
     return found[np.append(True, found[1:] != found[:-1])]
 
 
+def buckets(tok: np.ndarray) -> np.ndarray:
+    """The scorer's dimensions of tokens."""
+    return (tok & np.uint64(DIMENSIONS - 1)).astype(np.uint32)
+
+
 def shape(text: str) -> np.ndarray:
     """Shares that tell junk from prose; see ``_SHAPES``. Those of a text without words are a prose text's."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -212,7 +217,7 @@ class Scorer:
     bias: float
 
     def score(self, tok: np.ndarray, votes: np.ndarray, s: np.ndarray) -> float:
-        z = self.weights[(tok & np.uint64(DIMENSIONS - 1)).astype(np.int64)].sum() + features(votes, s) @ self.dense + self.bias
+        z = self.weights[buckets(tok)].sum() + features(votes, s) @ self.dense + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -228,13 +233,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
         return Scorer(np.zeros(DIMENSIONS), np.zeros(2 * (len(_SHAPES) + 2) + len(_SHAPES)), -1.0)
     dense = np.stack([d for _, d, _ in rows])
     y = np.array([p for _, _, p in rows])
-    where = np.concatenate([(t & np.uint64(DIMENSIONS - 1)).astype(np.int64) for t, _, _ in rows])
-    row = np.repeat(np.arange(len(rows)), [len(t) for t, _, _ in rows])
-    used, column = np.unique(where, return_inverse=True)
-    support = np.bincount(column)
-    wide = support >= max(5, len(rows) // 400)
-    keep = wide[column]
-    column, row = column[keep], row[keep]
+    where = np.concatenate([t for t, _, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _, _ in rows])
+    wide = np.bincount(where, minlength=DIMENSIONS) >= max(5, len(rows) // 400)
+    keep = wide[where]
+    where, row = where[keep], row[keep]
+    used = np.flatnonzero(wide)
+    column = np.searchsorted(used, where).astype(np.int32)
+    del where, keep
     w, n, gw = np.zeros(len(used)), len(rows), np.full(len(used), 1e-8)
     x = np.column_stack([dense, np.ones(n)])
     d = np.zeros(x.shape[1])
@@ -299,12 +305,12 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [votes_of(t.as_py(), lexicon.value, x) for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([features(r[0], r[2]).tobytes() for r in rows], pa.binary()), pa.array([posterior(r[0]) for r in rows], pa.float64())], names=["tokens", "dense", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([buckets(r[1]).tobytes() for r in rows], pa.binary()), pa.array([features(r[0], r[2]).tobytes() for r in rows], pa.binary()), pa.array([posterior(r[0]) for r in rows], pa.float64())], names=["tokens", "dense", "p"])
 
     total = sum(r.n for r in patterns)
     rate = min(1.0, TRAIN_ROWS / max(1, total))
     drawn = ids.where(F.pmod(F.xxhash64("_doc", F.lit(7)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).join(marks, "_doc", "left").select("text", "_label").limit(2 * TRAIN_ROWS)
-    rows = [(np.frombuffer(r.tokens, np.uint64), np.frombuffer(r.dense, float), r.p) for r in drawn.mapInArrow(sample, "tokens binary, dense binary, p double").toLocalIterator()]
+    rows = [(np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.dense, float), r.p) for r in drawn.mapInArrow(sample, "tokens binary, dense binary, p double").toLocalIterator()]
     scorer = spark.sparkContext.broadcast(train(rows))
     schema = T.StructType([*docs.schema.fields, T.StructField("_p_reject", T.DoubleType()), T.StructField("_p_weak", T.DoubleType()), T.StructField("_keep", T.BooleanType())])
 
