@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few fixed rows as literals of the plan: no RDD and no Python worker behind them."""
+    import json
+
     from pyspark.sql import functions as F
 
-    fields = [x.split() for x in schema.split(", ")]
-    values = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields, strict=True)]) for r in rows])
-    return spark.range(0, 1, 1, 1).select(F.inline(values))
+    names = [x.split()[0] for x in schema.split(", ")]
+    kind = "array<struct<" + ", ".join(f"{n}: {x.split()[1]}" for n, x in zip(names, schema.split(", "), strict=True)) + ">>"
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
 def shared_dir(spark: SparkSession) -> str:
