@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import _LOWER, _SPACE, mix, span_hashes, spans
+from plumbline.llm.common import _LOWER, _SPACE, mix, span_hasher, spans
 
 #: Bounds of what is fitted on: labelled rows for the lexicon, documents for the scorer.
 LABELLED_ROWS, TRAIN_ROWS = 3000, 3000
@@ -46,22 +46,28 @@ _UPPER[65:91] = True
 _SHAPES = ("symbols", "shouts", "bars", "repeats", "pairs", "capitals", "letters", "decorated")
 
 
-def tokens(text: str) -> np.ndarray:
-    """Sorted distinct hashes of lower-cased words, of their beginnings, and of the stems of words with a short rest."""
+def bytes_of(text: str):
+    """(bytes, hasher of spans of the lower-cased bytes)."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return raw, span_hasher(_LOWER[raw])
+
+
+def tokens(text: str, read=None) -> np.ndarray:
+    """Sorted distinct hashes of lower-cased words, of their beginnings, and of the stems of words with a short rest."""
+    raw, hashes = read or bytes_of(text)
     start, end = spans(raw, _WORD[raw])
     if not len(start):
         return np.empty(0, np.uint64)
-    low = _LOWER[raw]
-    parts = [span_hashes(low, start, end)]
+    words, first = np.unique(hashes(start, end), return_index=True)
+    start, end = start[first], end[first]  # each word once
+    size = end - start
+    parts = [words]
     for k in BEGINNINGS:
-        long = end - start >= k
-        if long.any():
-            parts.append(mix(span_hashes(low, start[long], start[long] + k) + np.uint64(k)))
+        at = start[size >= k]
+        parts.append(mix(hashes(at, at + k) + np.uint64(k)))
     for k in STEMS:
-        short = (end - start > k) & (end - start <= k + REST)
-        if short.any():
-            parts.append(mix(span_hashes(low, start[short], start[short] + k) + np.uint64(1000 + k)))
+        at = start[(size > k) & (size <= k + REST)]
+        parts.append(mix(hashes(at, at + k) + np.uint64(1000 + k)))
     found = np.concatenate(parts)
     found.sort()
     return found[np.append(True, found[1:] != found[:-1])]
@@ -72,20 +78,21 @@ def buckets(tok: np.ndarray) -> np.ndarray:
     return (tok & np.uint64(DIMENSIONS - 1)).astype(np.uint32)
 
 
-def shape(text: str) -> np.ndarray:
+def shape(text: str, read=None) -> np.ndarray:
     """Shares that tell junk from prose; see ``_SHAPES``. Those of a text without words are a prose text's."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    raw, span_hash = read or bytes_of(text)
     start, end = spans(raw, ~_SPACE[raw])
     n = len(start)
     if not n:
         return np.array([0, 0, 0, 0, 1, 0, 1, 0], float)
-    hashes = span_hashes(_LOWER[raw], start, end)
+    hashes = span_hash(start, end)
     last = raw[end - 1]
     tripled = (end - start >= 4) & _SYMBOL[last] & (raw[np.maximum(end - 2, 0)] == last) & (raw[np.maximum(end - 3, 0)] == last)
     shouts = (end - start >= 3) & (last == 33) & (raw[np.maximum(end - 2, 0)] == 33)
     bars = (end - start == 1) & _SYMBOL[last]
     repeats = (hashes[1:] == hashes[:-1]).sum() / n
-    pairs = len(np.unique(hashes[1:] + hashes[:-1] * np.uint64(3))) / max(1, n - 1) if n > 1 else 1.0
+    both = np.sort(hashes[1:] + hashes[:-1] * np.uint64(3))
+    pairs = (1 + np.count_nonzero(both[1:] != both[:-1])) / (n - 1) if n > 1 else 1.0
     letters = _WORD[raw].sum()
     return np.array([tripled.mean(), shouts.mean(), bars.mean(), repeats, pairs, _UPPER[raw].sum() / max(1, letters), letters / max(1, (~_SPACE[raw]).sum()), (~_PLAIN_END[last]).mean()])
 
@@ -119,7 +126,8 @@ class Lexicon:
 
 def votes_of(text: str | None, lexicon: Lexicon, label: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = text or ""
-    tok, s = tokens(text), shape(text)
+    read = bytes_of(text)
+    tok, s = tokens(text, read), shape(text, read)
     return np.array([*_shape_votes(s), *lexicon.votes(tok), 2 if label is None else label]), tok, s
 
 
