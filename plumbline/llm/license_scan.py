@@ -7,8 +7,8 @@ nearest ancestor directory that has a licence file, found by joins on path prefi
 
 Weights: ``idf(t) = ln((1 + N) / (1 + df(t))) + 1`` over the N templates, which are the fixed corpus
 of the vectoriser; a token that no template has gets the largest idf. A line can reach the threshold
-only if it has one of the template's heaviest tokens (the rest of the template's vector is too short),
-so one pattern of those tokens picks the lines that are compared, without loss.
+only if it has one of some tokens of the template, the rest of whose vector is too short for it; one
+pattern of those tokens picks the lines that are compared, without loss.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
+#: Words that ordinary prose is full of.
+EVERYDAY = frozenset("a all an and any are as at be by can for from in is it may not of on or that the this to under use was with you".split())
 THRESHOLD = 0.7
 TOKEN = "[a-z0-9]+"
 #: A file of at most so many tokens with a licence header, or one of these names, licenses its directory.
@@ -55,9 +57,10 @@ def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         weights = sorted(((n * idf[t] / norm, t) for t, n in c.items()), reverse=True)
         rows += [(k, name, t, w) for w, t in weights]
-        # the lightest tokens together stay below the threshold; one of the others must be there
+        # tokens that together stay below the threshold may be missed; one of the others must be there.
+        # Everyday words are the first to be missed, as nearly every line has some
         left = 1.0
-        for w, t in weights:
+        for _, w, t in sorted(((t in EVERYDAY, -w, t) for w, t in weights)):
             if left < THRESHOLD**2 - 1e-9:
                 break
             necessary.add(t)
