@@ -37,7 +37,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0.",),
     "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
-#: Words that ordinary prose is full of.
+#: Words that ordinary prose is full of; they are left out of all vectors.
 EVERYDAY = frozenset("a all an and any are as at be by can for from in is it may not of on or that the this to under use was with you".split())
 THRESHOLD = 0.7
 TOKEN = "[a-z0-9]+"
@@ -49,7 +49,7 @@ BROADCAST_ROWS = 100_000
 
 def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str, str, float]], float, list[str]]:
     """(template rows: number, licence, token, weight of length 1), idf of unknown tokens, necessary tokens."""
-    texts = [(name, Counter(re.findall(TOKEN, text.lower()))) for name, ts in templates.items() for text in ts]
+    texts = [(name, Counter(t for t in re.findall(TOKEN, text.lower()) if t not in EVERYDAY)) for name, ts in templates.items() for text in ts]
     df = Counter(t for _, c in texts for t in c)
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
     rows, necessary = [], set()
@@ -58,9 +58,9 @@ def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str
         weights = sorted(((n * idf[t] / norm, t) for t, n in c.items()), reverse=True)
         rows += [(k, name, t, w) for w, t in weights]
         # tokens that together stay below the threshold may be missed; one of the others must be there.
-        # Everyday words are the first to be missed, as nearly every line has some
+        # Short ones, as digits, are the first to be missed
         left = 1.0
-        for _, w, t in sorted(((t in EVERYDAY, -w, t) for w, t in weights)):
+        for _, w, t in sorted(((len(t) < 3, -w, t) for w, t in weights)):
             if left < THRESHOLD**2 - 1e-9:
                 break
             necessary.add(t)
@@ -102,7 +102,7 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     keyed = files.select(F.col("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce(F.concat(F.lit("p:"), "path"), F.concat(F.lit("t:"), F.sha2("text", 256))))
     could = F.rlike(F.lower("line"), F.lit("(?<![a-z0-9])(?:" + "|".join(necessary) + ")(?![a-z0-9])"))
     lines = keyed.where(F.rlike(F.lower("text"), F.lit("(?<![a-z0-9])(?:" + "|".join(necessary) + ")(?![a-z0-9])"))).select("key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(could)
-    units = lines.select(F.col("key").alias("path"), F.concat_ws(":", "at", F.xxhash64("line")).alias("unit"), F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    units = lines.select(F.col("key").alias("path"), F.concat_ws(":", "at", F.xxhash64("line")).alias("unit"), F.filter(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*sorted(EVERYDAY))).alias("tokens"))
     own = _best(units, spark, templates).select(F.col("path").alias("key"), F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine"))
     # licence files: named so, or short with a header
     short = F.size(F.split(F.btrim(F.regexp_replace("text", "\\s+", " ")), " ")) <= FILE_TOKENS
