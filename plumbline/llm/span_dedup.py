@@ -6,6 +6,14 @@ at least, that have ``LEAST`` words; the runs that begin at each sentence and th
 are hashed, so that both ends of a repeated passage are covered. Of all places with one hash the first, in the order of
 (doc_id, text hash, place), stays; the sentences that any other covers are removed.
 
+The borders of a passage that begins or ends within a sentence differ from text to text, so runs of
+``WORDS`` words are hashed too, wherever they lie in sentences. They begin at the words whose hash is
+the smallest of any ``WINDOW`` words in a row, the rightmost where hashes tie: a choice that rests on
+those words alone. Every passage of ``WORDS + WINDOW - 1`` (51) words holds such a window, and after
+its smallest word a whole run, so it shares a run with its other places whatever is around them. Of
+these runs the words are removed, not the sentences; fewer than ``WINDOW`` words may stay at each end.
+Places of a run that overlap its first one in the same text are not removed.
+
 In each task the smallest place of a hash is found before anything is shuffled: the others are known
 not to be first, and only the smallest is sent on. So a passage that a third of all documents share
 is one row for each task, not for each document.
@@ -24,6 +32,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import _LOWER, _ROLL, _SPACE, cut, dealing_keys, mix, partitions, span_hashes, spans
 
 RUN, LEAST, LONG = 3, 12, 16  # RUN and LEAST below 16
+WINDOW, WORDS = 16, 36
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
@@ -44,8 +53,29 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return raw, np.flatnonzero(place % LONG == 0), start, end
 
 
+def word_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of each run of ``WORDS`` words that begins at the smallest word of a window."""
+    if len(words) < WORDS:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    # the smallest value, the rightmost among equals: one comparison decides both
+    least = (words & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(words), dtype=np.uint64))
+    size = 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    at = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]  # the chosen place never moves left
+    at = at[at + WORDS <= len(words)]
+    total = np.zeros(len(at), np.uint64)
+    for k in range(WORDS):
+        total = mix(total * _ROLL[k % 5] + words[at + k])
+    return total + np.uint64(WORDS * 16), at
+
+
 def span_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of each run; a place is 16 times its first sentence plus its number of sentences.
+    """(hash, place) of each run; a place is 16 times its first sentence plus its number of sentences,
+    or 16 times its first word for a run of words.
 
     A sentence has a word at least, so a run has at most ``max(RUN, LEAST)`` sentences, below 16.
     """
@@ -70,30 +100,65 @@ def span_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     for k in range(int(n.max(initial=0))):
         on = n > k
         total[on] = mix(total[on] * _ROLL[k % 5] + own[x[on] + k])
-    return total + n.astype(np.uint64), places
+    key, word = word_runs(words)
+    return np.concatenate([total + n.astype(np.uint64), key]), np.concatenate([places, word * 16])
+
+
+def covered(places: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Which of the ``n`` words of a text the places cover."""
+    bound = np.append(first, n)
+    x, k = places >> 4, places & 15
+    of_words = k == 0
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, np.where(of_words, x, bound[np.where(of_words, 0, x)]), 1)
+    np.add.at(edges, np.where(of_words, x + WORDS, bound[np.where(of_words, 0, x + k)]), -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 def without(text: str, removed: np.ndarray) -> str:
-    """The text without the sentences marked, each with the white space after it."""
-    raw, first, start, _ = sentences(text)
-    begin = start[first]
+    """The text without the words marked, each with the white space after it."""
+    raw, _, start, _ = sentences(text)
     keep = np.ones(len(raw), bool)
-    ends = np.append(begin[1:], len(raw))
-    for s in np.flatnonzero(removed[: len(begin)]):
-        keep[begin[s] : ends[s]] = False
+    keep[start[0] :] = np.repeat(~removed, np.diff(np.append(start, len(raw))))
     out = raw[keep].tobytes().decode("utf-8", "surrogatepass")
-    return out.rstrip() if removed[: len(begin)][-1:].any() else out
+    return out.rstrip() if removed[-1] else out
+
+
+def _again(key: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of its hash, to be removed) for places sorted by hash, document, text and place."""
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    # the same place twice (a repeated row) is one place
+    same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (at[1:] == at[:-1])])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    overlaps = (at & 15 == 0) & (doc == doc[lead]) & (h == h[lead]) & (at >> 4 < (at[lead] >> 4) + WORDS)
+    return first, ~first & ~same & ~overlaps
 
 
-_ROW = "bucket int, doc long, h long, at binary, blob binary"
+_ROW = "bucket int, known binary, blob binary"
+
+
+def _pack(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> bytes:
+    """Places sorted by document and text: number of texts, documents, text hashes, places of each, places."""
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+    counts = np.diff(np.append(new, len(doc))).astype(np.uint32)
+    return np.uint32(len(new)).tobytes() + doc[new].tobytes() + h[new].tobytes() + counts.tobytes() + at.astype(np.uint32).tobytes()
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document, text hash, place) of each place, and where the places end."""
+    m = int(np.frombuffer(raw, np.uint32, 1)[0])
+    counts = np.frombuffer(raw, np.uint32, m, 4 + 16 * m)
+    total = int(counts.sum())
+    doc, h = (np.repeat(np.frombuffer(raw, np.int64, m, 4 + k * m), counts) for k in (0, 8))
+    return doc, h, np.frombuffer(raw, np.uint32, total, 4 + 20 * m), 4 + 20 * m + 4 * total
 
 
 def _emitter(keys: list[int]):
-    """(doc, text hash, text) to removals known in this task, by document, and packed first places, by bucket of the hash."""
+    """(doc, text hash, text) to packed removals known in this task, by bucket of the document, and packed first places, by bucket of the hash."""
     n = len(keys)
 
-    def batch_of(bucket, doc, h, at, blob):
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.binary()), pa.array(blob, pa.binary())], names=["bucket", "doc", "h", "at", "blob"])
+    def batch_of(bucket, known, blob):
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(known, pa.binary()), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[], [], [], []]
@@ -103,32 +168,15 @@ def _emitter(keys: list[int]):
             key, doc, h, at = (np.concatenate(x) for x in rows)
             order = np.lexsort((at, h, doc, key))
             key, doc, h, at = key[order], doc[order], h[order], at[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            # the same place twice (a repeated row) is one place
-            same = ~first & np.concatenate([[False], (doc[1:] == doc[:-1]) & (h[1:] == h[:-1]) & (at[1:] == at[:-1])])
-            yield from removals(doc[~first & ~same], h[~first & ~same], at[~first & ~same])
+            first, again = _again(key, doc, h, at)
+            yield from removals(doc[again], h[again], at[again])
             key, doc, h, at = key[first], doc[first], h[first], at[first]
             part = (key % np.uint64(n)).astype(np.int64)
             order = np.lexsort((h, doc, part))
             key, doc, h, at, part = key[order], doc[order], h[order], at[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blobs = []
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
-                d, t = doc[lo:hi], h[lo:hi]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-                counts = np.diff(np.append(new, hi - lo)).astype(np.uint32)
-                blobs.append(np.uint32(len(new)).tobytes() + d[new].tobytes() + t[new].tobytes() + counts.tobytes() + key[lo:hi].tobytes() + at[lo:hi].astype(np.uint32).tobytes())
-            none = [None] * len(blobs)
-            yield batch_of([keys[int(part[lo])] for lo in cuts], none, none, none, blobs)
-
-        def removals(doc, h, at):
-            if not len(doc):
-                return
-            order = np.lexsort((at, h, doc))
-            doc, h, at = doc[order], h[order], at[order].astype(np.uint32)
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
-            ends = np.append(new[1:], len(doc))
-            yield batch_of([keys[int(d) % n] for d in doc[new]], doc[new], h[new], [at[lo:hi].tobytes() for lo, hi in zip(new, ends, strict=True)], [None] * len(new))
+            blobs = [_pack(doc[lo:hi], h[lo:hi], at[lo:hi]) + key[lo:hi].tobytes() for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
+            yield batch_of([keys[int(part[lo])] for lo in cuts], [None] * len(blobs), blobs)
 
         for batch in batches:
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -143,46 +191,62 @@ def _emitter(keys: list[int]):
         if held:
             yield from flush()
 
-    return emit, removals_of(batch_of)
-
+    def removals(doc, h, at):
+        """One row for each bucket of documents, however many documents and places."""
+        if not len(doc):
+            return
+        part = doc % n
+        order = np.lexsort((at, h, doc, part))
+        doc, h, at, part = doc[order], h[order], at[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        blobs = [_pack(doc[lo:hi], h[lo:hi], at[lo:hi]) for lo, hi in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
+        yield batch_of([keys[int(part[lo])] for lo in cuts], blobs, [None] * len(blobs))
 
-def removals_of(batch_of):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """First places by hash: all but the smallest are removals; removals already known pass."""
         parts: list[list] = [[], [], [], []]
         for batch in batches:
-            known = batch.filter(batch.column("doc").is_valid())
+            known = batch.filter(batch.column("known").is_valid())
             if known.num_rows:
                 yield known
             for blob in batch.column("blob").filter(batch.column("blob").is_valid()):
                 raw = blob.as_buffer().to_pybytes()
-                m = int(np.frombuffer(raw, np.uint32, 1)[0])
-                d, h = np.frombuffer(raw, np.int64, m, 4), np.frombuffer(raw, np.int64, m, 4 + 8 * m)
-                counts = np.frombuffer(raw, np.uint32, m, 4 + 16 * m)
-                total = int(counts.sum())
-                for column, v in zip(parts, (np.frombuffer(raw, np.uint64, total, 4 + 20 * m), np.repeat(d, counts), np.repeat(h, counts), np.frombuffer(raw, np.uint32, total, 4 + 20 * m + 8 * total)), strict=True):
+                *places, end = _unpack(raw)
+                for column, v in zip(parts, (np.frombuffer(raw, np.uint64, len(places[0]), end), *places), strict=True):
                     column.append(v)
         if not parts[0]:
             return
         key, doc, h, at = (np.concatenate(x) for x in parts)
         order = np.lexsort((at, h, doc, key))
         key, doc, h, at = key[order], doc[order], h[order], at[order]
-        later = np.concatenate([[False], key[1:] == key[:-1]])
-        later[1:] &= (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])
-        doc, h, at = doc[later], h[later], at[later]
-        order = np.lexsort((at, h, doc))
-        doc, h, at = doc[order], h[order], at[order]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])) if len(doc) else np.empty(0, np.int64)
-        ends = np.append(new[1:], len(doc))
-        for lo in range(0, len(new), 50_000):
-            s, e = new[lo : lo + 50_000], ends[lo : lo + 50_000]
-            yield batch_of([0] * len(s), doc[s], h[s], [at[x:y].tobytes() for x, y in zip(s, e, strict=True)], [None] * len(s))
-
-    return find
+        _, later = _again(key, doc, h, at)
+        yield from removals(doc[later], h[later], at[later])
+
+    return emit, find
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The removals of a bucket of documents, one row for each text."""
+    parts: list[list] = [[], [], []]
+    for batch in batches:
+        for blob in batch.column("known"):
+            for column, v in zip(parts, _unpack(blob.as_buffer().to_pybytes())[:3], strict=True):
+                column.append(v)
+    if not parts[0]:
+        return
+    doc, h, at = (np.concatenate(x) for x in parts)
+    order = np.lexsort((at, h, doc))
+    doc, h, at = doc[order], h[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
+    ends = np.append(new[1:], len(doc))
+    for lo in range(0, len(new), 50_000):
+        s, e = new[lo : lo + 50_000], ends[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(h[s]), pa.array([at[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], names=["doc", "h", "_at"])
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the repeated sentences cut from the text, and ``_n_sentences`` and ``_n_removed``.
+    """``docs`` with the repeated passages cut from the text, and ``_n_sentences`` and ``_n_removed``,
+    the number of sentences and of those that lost words.
 
     A column ``n_chars`` of the input is set to the new length. Null texts stay null; texts of which
     nothing is left become empty. Rows with a null id are kept as they are and count for nothing;
@@ -194,7 +258,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     h = F.xxhash64(F.col(text_col))
     usable = docs.select(F.col(id_col).cast("long").alias("doc"), h.alias("h"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     found = cut(usable.mapInArrow(emit, _ROW).repartition(n, "bucket").mapInArrow(find, _ROW), "removals")
-    removals = found.groupBy("doc", "h").agg(F.collect_list("at").alias("_at"))  # at most the document's own places, once for each task
+    removals = found.select("bucket", "known").repartition(n, "bucket").mapInArrow(_merge, "doc long, h long, _at binary")
     rows = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_h", h)
     joined = rows.join(removals, (rows["_doc"] == removals["doc"]) & (rows["_h"] == removals["h"]), "left").select(*[rows[c] for c in docs.columns], rows[text_col].alias("_text"), "_at")
     text_at = docs.columns.index(text_col)
@@ -207,18 +271,16 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts, chars, totals, gone = [], [], [], []
             for text, places in zip(batch.column(k), batch.column(k + 1), strict=True):
                 t = text.as_py()
-                count = len(sentences(t)[1]) if t else 0
-                removed = np.zeros(count, bool)
-                for blob in places.as_py() or ():
-                    at = np.frombuffer(blob, np.uint32).astype(np.int64)
-                    for s in range(16):
-                        removed[(at >> 4)[(at & 15) > s] + s] = True
-                if removed.any():
+                _, first, start, _ = sentences(t or "")
+                lost = 0
+                if blob := places.as_py():
+                    removed = covered(np.frombuffer(blob, np.uint32).astype(np.int64), first, len(start))
+                    lost = int(np.logical_or.reduceat(removed, first).sum())
                     t = without(t, removed)
                 texts.append(t)
                 chars.append(None if t is None else len(t))
-                totals.append(count)
-                gone.append(int(removed.sum()))
+                totals.append(len(first))
+                gone.append(lost)
             columns = list(batch.columns[:k])
             columns[text_at] = pa.array(texts, columns[text_at].type)
             if chars_at is not None:

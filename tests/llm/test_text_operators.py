@@ -217,6 +217,33 @@ def test_span_dedup(spark):
     assert span_dedup(docs.limit(0)).count() == 0
 
 
+def test_span_dedup_within_sentences(spark):
+    def plain(seed, n):
+        return [f"x{(seed * 7919 + k * k * 31 + k * seed) % 9973}" for k in range(n)]
+
+    rows, passages = [], {}
+    for k in range(24):
+        p = plain(1000 + k, 51 + k)
+        for at in {0: (), 1: (18,), 2: (31, 37)}[k % 3]:
+            p[at] += "."
+        passages[k] = p
+        for copy in range(2):
+            before, after = plain(100 + 2 * k + copy, 1 + (k * 5 + copy * 9) % 23), plain(300 + 2 * k + copy, 1 + k % 19)
+            rows.append((2 * k + copy, " ".join([*before, *p, *after]), "en", "s", 0))
+    alone = " ".join(f"y{k}" for k in range(300))
+    rows += [(90, alone, "en", "s", 0), (91, "again " + " ".join(["one two three"] * 20), "en", "s", 0)]
+    got = {r.doc_id: r for r in span_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, p in passages.items():
+        first, later = rows[2 * k][1], rows[2 * k + 1][1]
+        assert got[2 * k].text == first and got[2 * k]._n_removed == 0
+        left = got[2 * k + 1].text.split()
+        own = [w for w in later.split() if w not in p]
+        assert [w for w in left if w not in p] == own and got[2 * k + 1]._n_removed > 0
+        assert len(left) - len(own) <= 30 and not any(p[a : a + 51] == left[b : b + 51] for a in range(len(p) - 50) for b in range(len(left) - 50))
+    assert got[90].text == alone
+    assert got[91].text == rows[-1][1]  # no place beside the first that does not overlap it
+
+
 def test_mixing(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "target")
     got = mixed(docs).collect()
