@@ -1,14 +1,16 @@
 """License scans in DataFrame functions only.
 
-Every line of a file is a possible licence header, and every licence file is a whole text. Both are
-sparse TF-IDF vectors over the tokens of the licence templates (other tokens only lengthen the
-vector), compared with the templates by cosine. Files without a header of their own inherit from the
+Every line of a file and, if asked for, every sentence of a line is a possible licence header, compared with header
+sentences; a file with the name of a licence file is a whole text too, compared with full licence
+texts, which decide before its lines do. All are sparse TF-IDF vectors over the tokens of the
+templates (other tokens only lengthen the vector), compared by cosine. Files without a header of their own inherit from the
 nearest ancestor directory that has a licence file, found by joins on path prefixes.
 
 Weights: ``idf(t) = ln((1 + N) / (1 + df(t))) + 1`` over the N templates, which are the fixed corpus
 of the vectoriser; a token that no template has gets the largest idf. A line can reach the threshold
 only if it has one of some tokens of the template, the rest of whose vector is too short for it; one
-pattern of those tokens picks the lines that are compared, without loss.
+pattern of those tokens picks the lines that can, and of these a bound on the cosine by the tokens
+that templates have picks those that are compared, both without loss.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from importlib.resources import files as resources
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import literal_rows
@@ -47,6 +51,13 @@ FILE_NAMES = "(?i)^(licen[cs]e|copying|notice|unlicense)(\\.[a-z]+)?$"
 BROADCAST_ROWS = 100_000
 
 
+@cache
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """The full texts by licence identifier. That of the AGPL is the GPL's by the other name: they differ in few places."""
+    found = {x.name.removesuffix(".txt"): (x.read_text(encoding="utf-8"),) for x in (resources("plumbline.llm") / "license_texts").iterdir() if x.name.endswith(".txt")}
+    return found | {"AGPL-3.0": (re.sub(r"(?i)(GNU)(\s+General Public)", r"\1 Affero\2", found["GPL-3.0"][0]),)}
+
+
 def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str, str, float]], float, list[str]]:
     """(template rows: number, licence, token, weight of length 1), idf of unknown tokens, necessary tokens."""
     texts = [(name, Counter(t for t in re.findall(TOKEN, text.lower()) if t not in EVERYDAY)) for name, ts in templates.items() for text in ts]
@@ -68,6 +79,21 @@ def _vectors(templates: dict[str, tuple[str, ...]]) -> tuple[list[tuple[int, str
     return rows, math.log(1 + len(texts)) + 1, sorted(necessary)
 
 
+def _possible(tokens: str, templates: dict[str, tuple[str, ...]]) -> Column:
+    """Whether a unit can reach the threshold: what no template has only lengthens its vector.
+
+    The known part of the vector bounds the cosine by ``|known| / |all|``, and a token that no
+    template has lengthens the vector by its idf at least once for each time it is there.
+    """
+    rows, unknown, _ = _vectors(templates)
+    idf = {t: math.log((1 + len({k for k, *_ in rows})) / (1 + n)) + 1 for t, n in Counter(t for _, _, t, _ in rows).items()}
+    weights = F.create_map(*(F.lit(x) for pair in sorted(idf.items()) for x in pair))
+    known = F.filter(tokens, lambda t: t.isin(*sorted(idf)))
+    own = F.transform(F.array_distinct(known), lambda t: F.pow(F.size(F.filter(known, lambda x: x == t)) * weights[t], F.lit(2.0)))
+    own = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+    return own >= (THRESHOLD - 1e-5) ** 2 * (own + unknown**2 * (F.size(tokens) - F.size(known)))
+
+
 def _best(units: DataFrame, spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """``path, unit, tokens`` to ``path, license, cosine``: the best template of any unit of a file, if it reaches the threshold."""
     rows, unknown, _ = _vectors(templates)
@@ -88,10 +114,11 @@ def _best(units: DataFrame, spark: SparkSession, templates: dict[str, tuple[str,
     return scores.join(top, ["path", "cosine"]).groupBy("path", "cosine").agg(F.min("license").alias("license"))
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, sentences: bool = False) -> DataFrame:
     """``path, text`` to ``path, own_license, own_cosine, license, source, from_dir``.
 
-    ``own_license`` is that of the file's best line; ``source`` is ``header`` (own), ``directory``
+    ``own_license`` is that of a licence file's whole text, if that reaches the threshold, else of the
+    file's best line, or sentence of a line if ``sentences``; ``source`` is ``header`` (own), ``directory``
     (inherited from ``from_dir``, the nearest ancestor with a licence file) or ``none``. Several
     licence files of a directory count by their highest cosine, then by name. A null text has no
     lines; rows with a null path have only their own header; rows that repeat a path are one file
@@ -102,11 +129,17 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     keyed = files.select(F.col("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce(F.concat(F.lit("p:"), "path"), F.concat(F.lit("t:"), F.sha2("text", 256))))
     could = F.rlike(F.lower("line"), F.lit("(?<![a-z0-9])(?:" + "|".join(necessary) + ")(?![a-z0-9])"))
     lines = keyed.where(F.rlike(F.lower("text"), F.lit("(?<![a-z0-9])(?:" + "|".join(necessary) + ")(?![a-z0-9])"))).select("key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(could)
-    units = lines.select(F.col("key").alias("path"), F.concat_ws(":", "at", F.xxhash64("line")).alias("unit"), F.filter(F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*sorted(EVERYDAY))).alias("tokens"))
-    own = _best(units, spark, templates).select(F.col("path").alias("key"), F.col("license").alias("own_license"), F.col("cosine").alias("own_cosine"))
+    if sentences:
+        lines = lines.select("key", "at", F.explode(F.array_distinct(F.concat(F.array("line"), F.split("line", "(?<=[.!?])\\s+")))).alias("line")).where(could)
+    tokens = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*sorted(EVERYDAY)))
+    units = lines.select(F.col("key").alias("path"), F.concat_ws(":", "at", F.xxhash64("line")).alias("unit"), tokens("line").alias("tokens")).where(_possible("tokens", templates))
+    named = F.coalesce(F.rlike(F.substring_index("path", "/", -1), F.lit(FILE_NAMES)), F.lit(False))
+    texts = keyed.where(named).select(F.col("key").alias("path"), F.xxhash64("text").cast("string").alias("unit"), tokens("text").alias("tokens"))
+    whole = _best(texts, spark, full_texts()).select("path", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
+    found = _best(units, spark, templates).join(whole, "path", "full")
+    own = found.select(F.col("path").alias("key"), F.coalesce("whole", "license").alias("own_license"), F.coalesce("whole_cosine", "cosine").alias("own_cosine"))
     # licence files: named so, or short with a header
     short = F.size(F.split(F.btrim(F.regexp_replace("text", "\\s+", " ")), " ")) <= FILE_TOKENS
-    named = F.rlike(F.substring_index("path", "/", -1), F.lit(FILE_NAMES))
     parent = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, "/[^/]*$", "")).otherwise("")
     licence_files = keyed.where(F.col("path").isNotNull() & (short | named)).select("key", "path").distinct().join(own, "key").select(parent(F.col("path")).alias("dir"), "own_license", "own_cosine")
     best = licence_files.groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own_license").alias("l"))).alias("b")).select("dir", F.col("b.l").alias("dir_license"))
@@ -136,5 +169,5 @@ def document_files(docs: DataFrame) -> DataFrame:
 def document_licenses(docs: DataFrame) -> DataFrame:
     """The scan of all documents, by ``doc_id``."""
     files = document_files(docs)
-    found = scan(files)
+    found = scan(files, sentences=True)
     return found.select(F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("long").alias("doc_id"), *found.columns)

@@ -75,6 +75,23 @@ def test_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_scan_whole_texts_and_sentences(spark):
+    texts = license_scan.full_texts()
+    files = [(f"{name}/LICENSE", "Copyright (c) 2020 Some One.\nAll rights reserved.\n\n" + t) for name, (t,) in texts.items()]
+    mit = texts["MIT"][0]
+    files += [
+        ("untitled/COPYING", mit[mit.index("Permission") :]), ("BSD-3-Clause/a/b.c", "int x;"), ("untitled/x.py", "pass"), ("own/LICENSE", "All rights reserved."),
+        ("prose.txt", "The tool was written on long winter evenings by three friends from the north who liked birds. Released under the MIT License. They still maintain it when there is time."),
+    ]
+    by = {r.path: r for r in license_scan.scan(spark.createDataFrame(files, "path string, text string"), sentences=True).collect()}
+    assert {n: by[f"{n}/LICENSE"].license for n in texts} == {n: n for n in texts}
+    assert by["untitled/COPYING"].license == "MIT" and by["untitled/x.py"].license == "MIT"
+    assert by["BSD-3-Clause/a/b.c"].license == "BSD-3-Clause" and by["BSD-3-Clause/a/b.c"].source == "directory"
+    assert by["own/LICENSE"].license == "Proprietary" and by["prose.txt"].license == "MIT"
+    docs = spark.createDataFrame([(1, files[-1][1], "en", "s")], "doc_id long, text string, lang string, source string")
+    assert license_scan.document_licenses(docs).first().own_license == "MIT"
+
+
 def test_scan_cosine_against_brute_force(spark):
     import math
     import re
