@@ -309,8 +309,6 @@ def main_text(pages: DataFrame) -> DataFrame:
                 host, path = path_key(url)
                 k = (host, path, -(2**63) if page is None else page)
                 found = blocks(source.as_py())
-                if any(inside for _, inside in found):
-                    found = [x for x in found if x[1]]
                 packed = z.compress("\n".join(("+" if inside else "-") + line for line, inside in found).encode("utf-8", "surrogatepass"))
                 own = place(k)
                 for b in (own, *also.get(k, ())):

@@ -56,6 +56,19 @@ def test_main_text(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_beside_articles(spark):
+    def page(k, body):
+        return (k, f"http://www.h.org/a/{k}", body)
+
+    def story(k):
+        return f"Story number {k} about thing {k * 17} is here and long enough to be read by all"
+
+    rows = [page(k, f"<body><p>Welcome to the plain site<div><p>{story(k)}<p>More of {story(k + 50)}</div><article><p>Teaser card {k}</article></body>") for k in range(1, 6)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1, 6):
+        assert got[k] == [story(k), f"More of {story(k + 50)}", f"Teaser card {k}"]
+
+
 # --- licence scans
 
 def test_scan(spark):
