@@ -6,8 +6,11 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK_DIR = "/tmp/plumbline-checkpoints"
+#: A key with more than one in ``HOT`` of the rows is hot; there are fewer than ``HOT`` such keys.
+HOT = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,6 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     """A few fixed rows as literals of the plan: no RDD and no Python worker behind them."""
     import json
 
-    from pyspark.sql import functions as F
-
     names = [x.split()[0] for x in schema.split(", ")]
     kind = "array<struct<" + ", ".join(f"{n}: {x.split()[1]}" for n, x in zip(names, schema.split(", "), strict=True)) + ">>"
     text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
@@ -29,11 +30,13 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; a folder of our own is set only where that is unset
-    (single-machine tests).
+    It is read from ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves
+    as long as driver and executors are one process; on a cluster there is no such folder.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = _FALLBACK_DIR
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
@@ -59,6 +62,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key; the rows of a hot key stay where they are.
+
+    Fewer than ``HOT`` keys have more than one in ``HOT`` of the rows, so their part of the table may
+    be broadcast. ``rows`` is read three times and should have been cut.
+    """
+    least = max(200, rows.count() // HOT)
+    hot = rows.groupBy(*on).agg(F.count("*").alias("_rows")).where(F.col("_rows") > least).select(*on)
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    hot = F.broadcast(cut(hot, "hot"))
+    there = F.broadcast(table.join(hot, on, "left_semi"))
+    return rows.join(hot, on, "left_semi").join(there, on, how).unionByName(rows.join(hot, on, "left_anti").join(table, on, how))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -174,8 +192,6 @@ def dealing_keys(spark: SparkSession, n: int) -> list[int]:
 
     Keys 0..n-1 themselves would collide, so that some partitions got several and others none.
     """
-    from pyspark.sql import functions as F
-
     rows = spark.range(0, 64 * n + 64, 1, 1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).groupBy("p").agg(F.min("k").alias("k")).collect()
     found = {r.p: r.k for r in rows}
     return [found.get(p, 64 * n + 64 + p) for p in range(n)]
