@@ -82,6 +82,27 @@ def test_jaccard_many_near_threshold(spark):
     assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()} == comp
 
 
+def test_jaccard_hot_lists(spark, monkeypatch):
+    """Marked components, open lists and blocks, which small tables meet only with small limits."""
+    import random
+
+    import plumbline.llm.jaccard_join as j
+
+    for name, value in (("PAIRS", 2), ("ALONE", 1), ("BLOCK", 8), ("LISTS", 5), ("BUCKET", 500)):
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(9)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        t = list(base)
+        for _ in range(rng.choice((0, 2, 8, 9, 10, 30))):
+            t[rng.randrange(len(t))] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(t), "en", "s", 1))
+    _, comp = brute_components(rows)
+    assert 3 < len(set(comp.values())) < 150
+    assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == comp
+
+
 def test_jaccard_empty(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
