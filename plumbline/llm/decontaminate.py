@@ -3,7 +3,8 @@
 The words of all benchmark windows are ordered by rarity, counted over all documents. A document can
 hold a window only where it has the window's rarest word, so that word alone is the window's
 necessary prefix; its place in the window bounds where the window would start and end. Only places
-that pass both bounds are verified word by word, over the whole window.
+that pass both bounds are verified word by word, over the whole window: by the hashes of the words
+first, then by their bytes.
 
 The benchmark is a stated query set: it is applied in blocks of at most ``BLOCK`` windows (16 MB of
 hashes), each against all documents, so what is sent to the executors has a fixed bound.
@@ -12,6 +13,7 @@ hashes), each against all documents, so what is sent to the executors has a fixe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +30,35 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
-def benchmark_words(text: str | None) -> np.ndarray:
-    """Hashes of the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased."""
-    if not text:
-        return np.empty(0, np.uint64)
-    raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+@dataclass
+class Words:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text with A-Z lower-cased: its bytes, their places and hashes."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def joined(self, at: int, n: int) -> bytes:
+        """``n`` words from ``at``, each with a blank after it."""
+        return b"".join(self.raw[x:y].tobytes() + b" " for x, y in zip(self.start[at : at + n], self.end[at : at + n], strict=True))
+
+
+def benchmark_words(text: str | None) -> Words:
+    raw = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
     start, end = spans(raw, _WORD[raw])
-    return span_hashes(raw, start, end)
+    return Words(raw, start, end, span_hashes(raw, start, end))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """(item ids, item of each window, length of each window, words of each window padded with 0)."""
-    items, of, lengths, rows = [], [], [], []
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(item ids, item of each window, length of each window, words of each window padded with 0, their bytes)."""
+    items, of, lengths, rows, texts = [], [], [], [], []
 
     def block():
-        return items, np.array(of, np.int64), np.array(lengths, np.int64), np.array(rows, np.uint64).reshape(-1, window)
+        return items, np.array(of, np.int64), np.array(lengths, np.int64), np.array(rows, np.uint64).reshape(-1, window), texts
 
     for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = benchmark_words(r.t)
@@ -50,13 +66,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> It
             continue
         items.append(r.i)
         for k in range(max(1, len(words) - window + 1)):
-            part = words[k : k + window]
+            part = words.hashes[k : k + window]
             of.append(len(items) - 1)
             lengths.append(len(part))
+            texts.append(words.joined(k, len(part)))
             rows.append(np.pad(part, (0, window - len(part))))
             if len(rows) >= BLOCK:
                 yield block()
-                items, of, lengths, rows = [r.i], [], [], []
+                items, of, lengths, rows, texts = [r.i], [], [], [], []
     if rows:
         yield block()
 
@@ -68,7 +85,7 @@ def _counted(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarr
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                words = benchmark_words(text.as_py())
+                words = benchmark_words(text.as_py()).hashes
                 at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
                 total += np.bincount(at[vocabulary[at] == words], minlength=len(total))
         found = np.flatnonzero(total)
@@ -83,7 +100,7 @@ def _counted(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarr
 class _Matcher:
     """The windows of one block, reachable by their rarest word."""
 
-    def __init__(self, items, of, lengths, rows, vocabulary, counts):
+    def __init__(self, items, of, lengths, rows, texts, vocabulary, counts):
         window = rows.shape[1]
         inside = np.arange(window) < lengths[:, None]
         rarity = np.where(inside, counts[np.searchsorted(vocabulary, rows).clip(0, len(vocabulary) - 1)], np.iinfo(np.int64).max)
@@ -91,11 +108,13 @@ class _Matcher:
         prefix = rows[np.arange(len(rows)), offset]
         order = np.argsort(prefix, kind="stable")
         self.items, self.of, self.lengths, self.rows, self.offset = items, of[order], lengths[order], rows[order], offset[order]
+        self.texts = [texts[k] for k in order]
         self.prefix, self.first = np.unique(prefix[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(rows)))
 
-    def match(self, words: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    def match(self, text: Words, hit: np.ndarray) -> np.ndarray:
         """Marks the words inside occurrences in ``hit``; returns the indexes of the items that occur."""
+        words = text.hashes
         at = np.minimum(np.searchsorted(self.prefix, words), len(self.prefix) - 1)
         place = np.flatnonzero(self.prefix[at] == words)
         if not len(place):
@@ -114,6 +133,8 @@ class _Matcher:
                 over = self.lengths[w] <= k
                 ok = over | (words[np.where(over, start, start + k)] == self.rows[w, k])
                 w, start = w[ok], start[ok]
+            ok = np.array([text.joined(x, self.lengths[k]) == self.texts[k] for k, x in zip(w, start, strict=True)], bool)
+            w, start = w[ok], start[ok]
             for length in np.unique(self.lengths[w]):
                 s = np.unique(start[self.lengths[w] == length])
                 hit[(s[:, None] + np.arange(length)).ravel()] = True
@@ -121,20 +142,21 @@ class _Matcher:
         return np.unique(np.concatenate(found))
 
 
-_ADDED = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
-
-
 def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None, drop: bool = False) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_hit`` (packed bits, one for each word) and ``_items`` (ids as strings, sorted).
+    """``row`` (a struct of the columns that ``carry`` names, all if None), ``n_words``, ``hit`` (packed
+    bits, one for each word) and ``items`` (ids as strings, sorted) for every row of ``docs``.
 
-    ``carry`` names the columns to keep (all if None); with ``drop``, contaminated documents are
-    left out instead. Null texts have no words; benchmark items without words have no windows and a
-    null item id counts as the empty string; an empty benchmark marks nothing.
+    With ``drop``, contaminated documents are left out instead. Null texts have no words; rows that
+    repeat a document, or have a null id, are judged by their own texts; benchmark items without words
+    have no windows and a null item id counts as the empty string; an item that is there twice
+    counts once; an empty benchmark marks nothing. Texts of any length are read whole.
     """
     carry = docs.columns if carry is None else carry
-    kept = T.StructType([docs.schema[c] for c in carry])
     blocks = _blocks(benchmark, item_col, item_text_col, window)
-    step, first = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("_text"), F.lit(None).cast("binary").alias("_hit"), F.lit(None).cast("array<string>").alias("_items")), True
+    # the row travels as one column, so that no name of its columns can clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    step, first = docs.select(row, F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items")), True
+    kept = step.schema["row"]
     block = next(blocks, None)
     while block is not None or first:
         following = next(blocks, None) if block is not None else None
@@ -148,9 +170,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         def apply(batches: Iterator[pa.RecordBatch], matcher=matcher, last=last) -> Iterator[pa.RecordBatch]:
             m = matcher.value if matcher else None
             for batch in batches:
-                n = batch.num_columns
                 counts, hits, items = [], [], []
-                for text, before, known in zip(batch.column(n - 3), batch.column(n - 2), batch.column(n - 1), strict=True):
+                for text, before, known in zip(*batch.columns[1:], strict=True):
                     words = benchmark_words(text.as_py())
                     hit = np.unpackbits(np.frombuffer(before.as_py(), np.uint8), count=len(words)).view(bool).copy() if before.is_valid else np.zeros(len(words), bool)
                     found = set(known.as_py() or ())
@@ -159,12 +180,12 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     counts.append(len(words))
                     hits.append(np.packbits(hit).tobytes())
                     items.append(sorted(found))
-                arrays = [*batch.columns[: n - 3], *([] if last else [batch.column(n - 3)]), *([pa.array(counts, pa.int64())] if last else []), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                names = [*batch.schema.names[: n - 3], *(["_n_words"] if last else ["_text"]), "_hit", "_items"]
-                out = pa.RecordBatch.from_arrays(arrays, names=names)
+                second = pa.array(counts, pa.int64()) if last else batch.column(1)
+                out = pa.RecordBatch.from_arrays([batch.column(0), second, pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words" if last else "text", "hit", "items"])
                 yield out.filter(pa.array([not i for i in items], pa.bool_())) if last and drop else out
 
-        schema = T.StructType([*kept.fields, *(_ADDED.fields if last else [T.StructField("_text", T.StringType()), *_ADDED.fields[1:]])])
+        second = T.StructField("n_words", T.LongType()) if last else T.StructField("text", T.StringType())
+        schema = T.StructType([kept, second, T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
         step, first = step.mapInArrow(apply, schema), False
         if not last:
             step = cut(step, "decontaminate")
@@ -175,20 +196,18 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
     marked = mark_contaminated(docs, benchmark, carry=["doc_id"])
-    bits = F.regexp_replace(F.hex("_hit"), "0", "")
+    bits = F.regexp_replace(F.hex("hit"), "0", "")
     hits = sum((F.length(bits) - F.length(F.regexp_replace(bits, f"[{digits}]", ""))) * n for n, digits in ((1, "1248"), (2, "3569AC"), (3, "7BDE"), (4, "F")))
     return marked.select(
-        "doc_id",
-        F.col("_n_words").alias("n_words"),
+        "row.doc_id",
+        "n_words",
         hits.cast("long").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.size("_items") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("items") > 0).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark window."""
-    return mark_contaminated(docs, benchmark, drop=True).drop("_n_words", "_hit", "_items")
-
-
+    return mark_contaminated(docs, benchmark, drop=True).select("row.*")

@@ -67,8 +67,9 @@ def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", i
 
     ``taken // size`` whole repetitions and a prefix of ``taken % size`` words make up a document's
     part in the mix. Null texts have size 0 and give nothing; a null source is a source like any
-    other, last in order; rows that repeat an id are sampled alike; columns of ``docs`` with these
-    names are replaced.
+    other, last in order; rows that repeat an id are sampled alike, however many there are (they share
+    one bucket); a text of any length is one row and is counted whole. Columns of ``docs`` with the
+    added names are replaced, all others are carried along; an empty table gives an empty result.
     """
     added = ("size", "source_size", "target", "taken")
     base = docs.drop(*[c for c in added if c in docs.columns])
@@ -92,6 +93,8 @@ def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", i
     plan = t.join(filled, t.source.eqNullSafe(filled.source)).select(t.source.alias("_source"), t.source_size.alias("source_size"), t.target.alias("target"), "whole", running.alias("_r"))
     plan = cut(plan.select("_source", "source_size", "target", "whole", F.col("_r.edge").alias("_edge"), F.col("_r.part").alias("_part")), "mix")
     side = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    rows = base.withColumn("_src", src).withColumn("_bucket", bucket).withColumn("size", word_count(F.col(text_col))).join(side, F.col("_src").eqNullSafe(F.col("_source")), "left")
-    extra = F.when(F.col("_bucket") < F.col("_edge"), F.col("size")).when(F.col("_bucket") == F.col("_edge"), F.round(F.col("size") * F.col("_part"))).otherwise(0)
-    return rows.withColumn("taken", (F.col("size") * F.col("whole") + extra).cast("long")).select(*[F.col(f"`{c}`") for c in base.columns], *added)
+    # the row travels as one column, so that no name of its columns can clash with those used here
+    rows = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), src.alias("src"), bucket.alias("bucket"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    rows = rows.join(side, F.col("src").eqNullSafe(F.col("_source")), "left")
+    extra = F.when(F.col("bucket") < F.col("_edge"), F.col("size")).when(F.col("bucket") == F.col("_edge"), F.round(F.col("size") * F.col("_part"))).otherwise(0)
+    return rows.select("row.*", "size", "source_size", "target", (F.col("size") * F.col("whole") + extra).cast("long").alias("taken"))

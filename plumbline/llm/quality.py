@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from plumbline.llm.common import _LOWER, _SPACE, mix, span_hasher, spans
 
-#: Bounds of what is fitted on: labelled rows for the lexicon, documents for the scorer.
-LABELLED_ROWS, TRAIN_ROWS = 3000, 3000
+#: Bounds of what is fitted on: labelled rows for the lexicon, documents for the scorer. Both samples
+#: are the rows of smallest hash, so they do not depend on partitions or the order of rows.
+LABELLED_ROWS, TRAIN_ROWS = 4000, 6000
 DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: Beginnings of words that go on for at most ``REST`` bytes.
@@ -137,7 +138,7 @@ def _label(quality, toxic):
 
 
 def _clean_labels(labels: DataFrame) -> DataFrame:
-    both = labels.select(F.col("doc_id").cast("long").alias("_doc"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("_doc is not null")
+    both = labels.select(F.col("doc_id").cast("string").alias("_doc"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("_doc is not null")
     return both.groupBy("_doc").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # of several labels the stricter counts
 
 
@@ -152,7 +153,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokens(t.as_py() or "").tobytes() for t in batch.column(1)], pa.binary())], names=["toxic", "tokens"])
 
     # at most LABELLED_ROWS rows are broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(chosen.select("_doc", F.coalesce("toxic", F.lit(0)).alias("toxic"))), "_doc").select("toxic", "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("_doc"), "text").join(F.broadcast(chosen.select("_doc", F.coalesce("toxic", F.lit(0)).alias("toxic"))), "_doc")
+    # rows that repeat a document are one
+    rows = rows.groupBy("_doc", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     got = rows.mapInArrow(read, "toxic int, tokens binary").toLocalIterator()
     toxic, clean = [], []
     for r in got:
@@ -241,14 +244,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
         return Scorer(np.zeros(DIMENSIONS), np.zeros(2 * (len(_SHAPES) + 2) + len(_SHAPES)), -1.0)
     dense = np.stack([d for _, d, _ in rows])
     y = np.array([p for _, _, p in rows])
-    where = np.concatenate([t for t, _, _ in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _, _ in rows])
-    wide = np.bincount(where, minlength=DIMENSIONS) >= max(5, len(rows) // 400)
-    keep = wide[where]
-    where, row = where[keep], row[keep]
+    spread = np.zeros(DIMENSIONS, np.int32)
+    for t, _, _ in rows:
+        spread[t] += 1  # of how many rows, not how often
+    wide = spread >= max(5, len(rows) // 400)
+    rows = [t[wide[t]] for t, _, _ in rows]  # the others keep no weight: they go before all are put together
+    where = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
     used = np.flatnonzero(wide)
-    column = np.searchsorted(used, where).astype(np.int32)
-    del where, keep
+    column = np.searchsorted(used, where)
+    del where
     w, n, gw = np.zeros(len(used)), len(rows), np.full(len(used), 1e-8)
     x = np.column_stack([dense, np.ones(n)])
     d = np.zeros(x.shape[1])
@@ -280,12 +285,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
     return Scorer(weights, d, float(b))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_p_reject`` (the scorer's probability), ``_p_weak`` (the posterior of the votes) and ``_keep``.
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``), ``p_reject`` (the scorer's probability), ``p_weak``
+    (the posterior of the votes) and ``keep`` for every row of ``docs (doc_id, text, ...)``.
 
-    Null texts are empty; empty texts cast the votes of empty shapes. Labels join on ``doc_id``; of
-    several labels of a document the stricter counts, and without labels the heuristic labellers
-    stand alone. Rows that repeat a document are decided alike; all columns are carried along.
+    Null texts are empty; empty texts cast the votes of empty shapes; texts of any length are read
+    whole. Ids may be of any type, labels join on their string form; of several labels of a document
+    the stricter counts, labels without a document or an id count for nothing, and without labels the
+    heuristic labellers stand alone. Rows that repeat a document are decided alike; a row with a null
+    id is decided by its text. Of documents whose sampling hashes tie, which are equal in id and text,
+    one is drawn. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     lexicon = spark.sparkContext.broadcast(learn_lexicon(docs, labels))
@@ -299,8 +308,8 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out.append(int(v[:-1] @ 3 ** np.arange(len(v) - 1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["_doc", "v"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
-    patterns = ids.mapInArrow(vote, "_doc long, v long").join(marks, "_doc", "left").groupBy("v", "_label").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers
+    ids = docs.select(F.col("doc_id").cast("string").alias("_doc"), "text")
+    patterns = ids.mapInArrow(vote, "_doc string, v long").join(marks, "_doc", "left").groupBy("v", "_label").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers
     m = len(_SHAPES) + 2
     table = np.array([[r.v // 3**k % 3 for k in range(m)] + [2 if r._label is None else r._label] for r in patterns], np.int64).reshape(-1, m + 1)
     share, accuracy, _ = estimate(table, np.array([r.n for r in patterns], float))
@@ -315,21 +324,27 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rows = [votes_of(t.as_py(), lexicon.value, x) for t, x in zip(batch.column(0), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([buckets(r[1]).tobytes() for r in rows], pa.binary()), pa.array([features(r[0], r[2]).tobytes() for r in rows], pa.binary()), pa.array([posterior(r[0]) for r in rows], pa.float64())], names=["tokens", "dense", "p"])
 
-    total = sum(r.n for r in patterns)
-    rate = min(1.0, TRAIN_ROWS / max(1, total))
-    drawn = ids.where(F.pmod(F.xxhash64("_doc", F.lit(7)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).join(marks, "_doc", "left").select("text", "_label").limit(2 * TRAIN_ROWS)
-    rows = [(np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.dense, float), r.p) for r in drawn.mapInArrow(sample, "tokens binary, dense binary, p double").toLocalIterator()]
-    scorer = spark.sparkContext.broadcast(train(rows))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_p_reject", T.DoubleType()), T.StructField("_p_weak", T.DoubleType()), T.StructField("_keep", T.BooleanType())])
+    order = F.xxhash64("_doc", "text", F.lit(7))
+    chosen = F.broadcast(ids.select(order.alias("_o")).distinct().orderBy("_o").limit(TRAIN_ROWS))
+    drawn = ids.withColumn("_o", order).join(chosen, "_o").join(marks, "_doc", "left").groupBy("_o").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    got = drawn.select("text", "_label").mapInArrow(sample, "tokens binary, dense binary, p double").toLocalIterator()  # at most TRAIN_ROWS rows of 4 bytes a token
+    scorer = spark.sparkContext.broadcast(train([(np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.dense, float), r.p) for r in got]))
+    # the row travels as one column, so that no name of its columns can clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("p_reject", T.DoubleType()), T.StructField("p_weak", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 1
             p, weak = [], []
-            for text in batch.column(k):
+            for text in batch.column(1):
                 v, tok, s = votes_of(text.as_py(), lexicon.value, None)
                 p.append(scorer.value.score(tok, v, s))
                 weak.append(posterior(v))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(p), pa.array(weak), pa.array([x < THRESHOLD for x in p])], names=[*batch.schema.names[:k], "_p_reject", "_p_weak", "_keep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(weak, pa.float64()), pa.array([x < THRESHOLD for x in p], pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(decide, schema)
+
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text")).mapInArrow(decide, schema)
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns."""
+    return judged(docs, labels).where("keep").select("row.*")

@@ -30,10 +30,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.quality import scored
+    from plumbline.llm.quality import judged
 
-    rows = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", F.round("_p_reject", 6).alias("p_reject"), F.round("_p_weak", 6).alias("p_weak"), F.col("_keep").alias("keep"))
+    rows = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("row.doc_id", F.round("p_reject", 6).alias("p_reject"), F.round("p_weak", 6).alias("p_weak"), "keep")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.span_dedup import span_dedup
+    from plumbline.llm.span_dedup import span_report
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return span_dedup(docs).select("doc_id", "text", "n_chars", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"))
+    return span_report(docs).select("row.*", "n_sentences", "n_removed")
 
 
 def op8_warc_converter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,35 +241,44 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.append(new[1:], len(doc))
     for lo in range(0, len(new), 50_000):
         s, e = new[lo : lo + 50_000], ends[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(h[s]), pa.array([at[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], names=["doc", "h", "_at"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(h[s]), pa.array([at[x:y].tobytes() for x, y in zip(s, e, strict=True)], pa.binary())], names=["doc", "h", "at"])
 
 
 def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` with the repeated passages cut from the text, and ``_n_sentences`` and ``_n_removed``,
-    the number of sentences and of those that lost words.
+    """``docs`` with the repeated passages cut from the text. See ``span_report``."""
+    return span_report(docs, id_col, text_col, chars_col).select("row.*")
+
+
+def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``row``, a struct of the columns of ``docs`` with the repeated passages cut from the text, and
+    ``n_sentences`` and ``n_removed``, the number of sentences and of those that lost words.
 
     A column ``n_chars`` of the input is set to the new length. Null texts stay null; texts of which
     nothing is left become empty. Rows with a null id are kept as they are and count for nothing;
     rows equal in id and text are one document; rows of one id with different texts are told apart.
+    Texts of any length are read whole; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     emit, find = _emitter(dealing_keys(spark, n))
-    h = F.xxhash64(F.col(text_col))
-    usable = docs.select(F.col(id_col).cast("long").alias("doc"), h.alias("h"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+    h = F.xxhash64(F.col(f"`{text_col}`"))
+    usable = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), h.alias("h"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
     found = cut(usable.mapInArrow(emit, _ROW).repartition(n, "bucket").mapInArrow(find, _ROW), "removals")
-    removals = found.select("bucket", "known").repartition(n, "bucket").mapInArrow(_merge, "doc long, h long, _at binary")
-    rows = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_h", h)
-    joined = rows.join(removals, (rows["_doc"] == removals["doc"]) & (rows["_h"] == removals["h"]), "left").select(*[rows[c] for c in docs.columns], rows[text_col].alias("_text"), "_at")
-    text_at = docs.columns.index(text_col)
-    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_sentences", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    removals = found.select("bucket", "known").repartition(n, "bucket").mapInArrow(_merge, "doc long, h long, at binary")
+    # the row travels as one column, so that no name of its columns can clash with those used here
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), h.alias("h"), text.alias("text"))
+    joined = rows.join(removals, ["doc", "h"], "left").select("row", "text", "at")
+    kept = joined.schema["row"]
+    names = [x.lower() for x in docs.columns]
+    text_at = names.index(text_col.lower())
+    chars_at = names.index(chars_col.lower()) if chars_col.lower() in names else None
+    schema = T.StructType([kept, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 2
             texts, chars, totals, gone = [], [], [], []
-            for text, places in zip(batch.column(k), batch.column(k + 1), strict=True):
+            for text, places in zip(*batch.columns[1:], strict=True):
                 t = text.as_py()
                 _, first, start, _ = sentences(t or "")
                 lost = 0
@@ -281,10 +290,11 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 chars.append(None if t is None else len(t))
                 totals.append(len(first))
                 gone.append(lost)
-            columns = list(batch.columns[:k])
+            fields = list(batch.schema.field(0).type)
+            columns = batch.column(0).flatten()
             columns[text_at] = pa.array(texts, columns[text_at].type)
             if chars_at is not None:
                 columns[chars_at] = pa.array(chars, pa.int64()).cast(columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names[:k], "_n_sentences", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=["row", "n_sentences", "n_removed"])
 
     return joined.mapInArrow(remove, schema)

@@ -162,15 +162,16 @@ def judged(spark):
 
 def test_quality(spark, judged):
     docs, labels = judged
-    got = quality.scored(docs, labels).collect()
+    judge = lambda d, x: quality.judged(d, x).select("row.*", "p_reject", "p_weak", "keep")
+    got = judge(docs, labels).collect()
     assert len(got) == docs.count()
     held_out = [r for r in got if r.doc_id is None or r.doc_id % 3 == 0]
-    wrong = [(r.doc_id, r.kind, round(r._p_reject, 3), round(r._p_weak, 3)) for r in held_out if r.kind != "x" and r._keep != (r.kind == "clean")]
+    wrong = [(r.doc_id, r.kind, round(r.p_reject, 3), round(r.p_weak, 3)) for r in held_out if r.kind != "x" and r.keep != (r.kind == "clean")]
     assert len(wrong) <= 0.03 * len(held_out), wrong
-    assert {str(r) for r in quality.scored(docs, labels).collect()} == {str(r) for r in got}
-    alone = quality.scored(docs, labels.limit(0)).collect()
-    assert sum(r._keep == (r.kind != "junk") for r in alone if r.kind != "x") > 0.95 * len(alone)
-    assert quality.scored(docs.limit(0), labels).count() == 0
+    assert {str(r) for r in judge(docs, labels).collect()} == {str(r) for r in got}
+    alone = judge(docs, labels.limit(0)).collect()
+    assert sum(r.keep == (r.kind != "junk") for r in alone if r.kind != "x") > 0.95 * len(alone)
+    assert judge(docs.limit(0), labels).count() == 0
 
 
 def test_estimate_recovers_accuracies():
@@ -256,7 +257,7 @@ def test_pipeline(spark, tmp_path, judged):
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not got & {5000, 5001, clean[5][0]}
     source = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = {r.doc_id for r in quality.scored(source, labels).where("_keep").collect()}
+    kept = {r.doc_id for r in quality.kept(source, labels).collect()}
     assert got <= kept and sum(k % 8 <= 1 for k in kept if k < 1000) <= 3
     # what the mix leaves out apart, clean documents stay
     at = source

@@ -9,7 +9,7 @@ import pytest
 from plumbline.llm.decontaminate import decontaminate, decontamination_report
 from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.mixing import mixed
-from plumbline.llm.span_dedup import span_dedup
+from plumbline.llm.span_dedup import span_dedup, span_report
 from plumbline.llm.winnow import K, W, decode, fingerprint_report, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,7 +224,7 @@ def test_span_dedup(spark):
                 removed[k] |= set(range(a, b))
             else:
                 seen[key] = k
-    got = span_dedup(docs).collect()
+    got = span_report(docs).select("row.*", "n_sentences", "n_removed").collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
@@ -232,7 +232,7 @@ def test_span_dedup(spark):
         elif r.text is not None and r.doc_id < 60:
             source = next(x[1] for x in rows if x[0] == r.doc_id)
             s = sentences(source)
-            assert r._n_removed == len(removed[r.doc_id]) and r._n_sentences == len(s)
+            assert r.n_removed == len(removed[r.doc_id]) and r.n_sentences == len(s)
             assert r.text.split() == [w for i, x in enumerate(s) if i not in removed[r.doc_id] for w in x]
             assert r.n_chars == len(r.text)
     assert span_dedup(docs.limit(0)).count() == 0
@@ -253,13 +253,13 @@ def test_span_dedup_within_sentences(spark):
             rows.append((2 * k + copy, " ".join([*before, *p, *after]), "en", "s", 0))
     alone = " ".join(f"y{k}" for k in range(300))
     rows += [(90, alone, "en", "s", 0), (91, "again " + " ".join(["one two three"] * 20), "en", "s", 0)]
-    got = {r.doc_id: r for r in span_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r for r in span_report(spark.createDataFrame(rows, SCHEMA)).select("row.*", "n_removed").collect()}
     for k, p in passages.items():
         first, later = rows[2 * k][1], rows[2 * k + 1][1]
-        assert got[2 * k].text == first and got[2 * k]._n_removed == 0
+        assert got[2 * k].text == first and got[2 * k].n_removed == 0
         left = got[2 * k + 1].text.split()
         own = [w for w in later.split() if w not in p]
-        assert [w for w in left if w not in p] == own and got[2 * k + 1]._n_removed > 0
+        assert [w for w in left if w not in p] == own and got[2 * k + 1].n_removed > 0
         assert len(left) - len(own) <= 30 and not any(p[a : a + 51] == left[b : b + 51] for a in range(len(p) - 50) for b in range(len(left) - 50))
     assert got[90].text == alone
     assert got[91].text == rows[-1][1]  # no place beside the first that does not overlap it
