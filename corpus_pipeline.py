@@ -16,7 +16,7 @@ from plumbline.llm import decontaminate as contamination
 from plumbline.llm.common import cut, table
 from plumbline.llm.jaccard_join import jaccard_components
 from plumbline.llm.mixing import mixed
-from plumbline.llm.quality import scored
+from plumbline.llm.quality import kept
 from plumbline.llm.span_dedup import span_dedup
 
 #: Ids of documents to drop are broadcast only when they have been counted to be no more.
@@ -24,23 +24,22 @@ BROADCAST_ROWS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = scored(docs, table(spark, sf_dir, "labels"))
-    return rows.where("_keep").select(docs.columns)
+    return kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "gone"), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return span_dedup(docs).select(docs.columns)
+    return span_dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
