@@ -36,10 +36,89 @@ def test_blocks():
         '<form>f</form><ul><li>x<li>y</ul><script>if (a<b) "</p>"</script></article><section id="comments"><article class="comment">hi</article></section>'
         "<footer>&copy;</footer><p>tail &lt;"
     )
-    assert html_extract.blocks(page) == [("A & B C", True), ("one two three four", True), ("x", True), ("y", True), ("tail <", False)]
+    expected = [("A & B C", "+"), ("one two three four", "+"), ("x", "+"), ("y", "+"), ("tail <", "-")]
+    assert [x for x in html_extract.blocks(page) if x[1] != "~"] == expected
+    assert [x for x, kind in html_extract.blocks(page) if kind == "~"] == ["Menu", "Site", "buy", "join", "f", "hi", "\u00a9"]
+    assert html_extract.blocks('<p>a <span class=ad>buy</span> b</p><div class="social-history">s</div><div class="social-links">t') == [("a b", "-"), ("buy", "~"), ("s", "-"), ("t", "~")]
     assert html_extract.blocks(None) == html_extract.blocks("") == []
 
 
+def brute_main_text(rows):
+    """Pairing and output by the definition, for pages of one plain block a line, none of which a page has twice."""
+    def parts(url):
+        host, _, path = url.split("//")[1].partition("/")
+        return host, "/" + path
+
+    def near(x, y):
+        # whole parts of the path count, and one more where the next parts begin alike
+        done = 0
+        for p, q in zip(x.split("/"), y.split("/")):
+            if p != q:
+                return done + next((k for k, (c, d) in enumerate(zip(p, q)) if c != d), min(len(p), len(q)))
+            done += len(p) + 1
+        return done
+
+    out = {}
+    for host in {parts(u)[0] for _, u, _ in rows}:
+        runs = []
+        for page, url, lines in sorted(((k, parts(u)[1], t) for k, u, t in rows if parts(u)[0] == host), key=lambda r: (r[1], r[0])):
+            if runs and runs[-1][0] == lines:
+                runs[-1][1].append((page, url))
+            else:
+                runs.append((lines, [(page, url)]))
+        for i, (lines, pages) in enumerate(runs):
+            for page, path in pages:
+                others = [(-near(runs[j][1][-1 if j < i else 0][1], path), abs(i - j), j > i, runs[j][0]) for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < len(runs)]
+                others = [o[3] for o in sorted(others)[:2]]
+                kept = lines
+                if others:
+                    def common(o):
+                        best = []
+                        for mask in range(1 << len(lines)):
+                            some = [x for k, x in enumerate(lines) if mask >> k & 1]
+                            rest = iter(o)
+                            if len(some) > len(best) and all(x in rest for x in some):
+                                best = some
+                        return set(best)
+
+                    shared = common(others[0])
+                    sure = shared & common(others[1]) if len(others) > 1 else set()
+                    size = lambda xs: sum(map(len, xs))
+                    copy = 2 * size(shared - sure) > size(x for x in lines if x not in sure)
+                    kept = [x for x in lines if x not in (sure if copy else shared)]
+                out[page] = "\n".join(kept)
+    return out
+
+
+def test_main_text_against_brute_force(spark):
+    rng = random.Random(7)
+    rows, k = [], 0
+    for host in "abc":
+        template = [f"Site line {host} {x}" for x in range(3)]
+        for section in ("n", "s/x", "s/y"):
+            for _ in range(6):
+                own = [f"Own story {k} line {x} " + "w" * rng.randrange(0, 60) for x in range(rng.randrange(0, 4))]
+                lines = [template[0], *([f"Section {section} of {host}"] if rng.random() < 0.7 else []), *own, *sorted(rng.sample(template[1:], rng.randrange(0, 3)))]
+                if rng.random() < 0.25 and rows:
+                    lines = [*rows[-1][2]] if rng.random() < 0.5 else [*rows[-1][2], f"Print {k}"]
+                rows.append((k, f"http://{host}.org/{section}/{rng.randrange(300)}", lines))
+                k += 1
+    pages = spark.createDataFrame([(k, u, "".join(f"<p>{x}</p>" for x in t)) for k, u, t in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    expected = brute_main_text(rows)
+    assert {k: (got[k], expected[k]) for k in expected if got[k] != expected[k]} == {}
+    assert any("Site line" not in t for t in got.values())
+
+
+def test_main_text_short_stories(spark):
+    """Template lines longer than the stories go; copies and pages that repeat do not hide them."""
+    lines = ["Welcome to the long welcome line of this site of many words", "Call us on any day of the week at any hour that you like", "All the news that we found fit for you to read today"]
+    rows = [(k, f"http://h.org/{k}", "".join(f"<p>{x}</p>" for x in [lines[0], f"Tale {k} {'x' * k}", *lines[1:]])) for k in range(1, 6)]
+    rows += [rows[2], rows[2]]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 7 and {r.page_id: r.text for r in got} == {k: f"Tale {k} {'x' * k}" for k in range(1, 6)}
+
+
 def test_main_text(spark):
     def page(k, body):
         return (k, f"http://www.h.org/a/{k}?q=1", f"<body><p>Welcome to the site of plain pages<p>{body} is here and long enough to be read<p>Call us on any day</body>")
