@@ -184,6 +184,49 @@ def test_scan_whole_texts_and_sentences(spark):
     assert license_scan.document_licenses(docs).first().own_license == "MIT"
 
 
+def test_scan_headers(spark):
+    """SPDX lines, wrapped headers in comments, and licences that differ by a version only."""
+    gpl = lambda v: f"This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version {v} of the License, or\n# (at your option) any later version."
+    mit = license_scan.full_texts()["MIT"][0]
+    prose = "The house stood by the river and it was in the care of the people of the town. " * 40
+    files = {
+        "spdx.c": ("// SPDX-License-Identifier: MIT\nint main() {}\n", "MIT"), "two.py": (f"# {gpl(2)}\nimport os\n" + "x = 1\n" * 300, "GPL-2.0"), "three.py": (f"# {gpl(3)}\nimport os\n" + "x = 1\n" * 300, "GPL-3.0"),
+        "only2.h": ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"), "para.txt": (prose + "\n\n" + mit[mit.index("Permission") :], "MIT"), "prose.txt": (prose, None), "zlib.c": ("// SPDX-License-Identifier: Zlib", None),
+        "head.txt": ("GNU GENERAL PUBLIC LICENSE", None), "lesser.c": ("// SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    }
+    got = {r.path: r.own_license for r in license_scan.scan(spark.createDataFrame([(p, t) for p, (t, _) in files.items()], "path string, text string"), sentences=True).collect()}
+    assert got == {p: x for p, (_, x) in files.items()}
+
+
+def test_scan_inheritance_against_brute_force(spark):
+    """The nearest ancestor with a licence file, whatever its size and name."""
+    rng = random.Random(2)
+    headers = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "plain words of a file"}
+    paths = {"/".join(rng.choice("abc") for _ in range(rng.randrange(5))) for _ in range(60)}
+    files = []
+    for d in sorted(paths):
+        for k in range(rng.randrange(1, 4)):
+            kind = rng.choice([None, None, "MIT", "Apache-2.0"])
+            whole = rng.random() < 0.5
+            files.append((f"{d}/f{k}.txt" if d else f"f{k}.txt", headers[kind] if whole else headers[kind] + "\n" + "other things are told here at length " * 90, kind, whole and kind))
+    own = {}
+    for p, _, kind, whole in files:
+        if whole:
+            d = p.rpartition("/")[0]
+            own[d] = min(own.get(d, "~"), kind)
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    for p, _, kind, _ in files:
+        d, at = p.rpartition("/")[0], None
+        while at is None:
+            if d in own:
+                at = d
+            elif not d:
+                break
+            d = d.rpartition("/")[0]
+        expected = (kind, "header", None) if kind else (own[at], "directory", at) if at is not None else (None, "none", None)
+        assert (got[p].license, got[p].source, got[p].from_dir) == expected, p
+
+
 def test_scan_cosine_against_brute_force(spark):
     import math
     import re
@@ -191,12 +234,12 @@ def test_scan_cosine_against_brute_force(spark):
 
     texts = [t for ts in license_scan.TEMPLATES.values() for t in ts]
     names = [n for n, ts in license_scan.TEMPLATES.items() for _ in ts]
-    counted = lambda t: Counter(x for x in re.findall("[a-z0-9]+", t.lower()) if x not in license_scan.EVERYDAY)
+    counted = lambda t: Counter(re.findall("[a-z0-9]+", t.lower()))
     docs = [counted(t) for t in texts]
     df = Counter(t for c in docs for t in c)
 
     def vector(c):
-        v = {t: n * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items()}
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
