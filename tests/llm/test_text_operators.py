@@ -88,7 +88,7 @@ def test_jaccard_hot_lists(spark, monkeypatch):
 
     import plumbline.llm.jaccard_join as j
 
-    for name, value in (("PAIRS", 2), ("ALONE", 1), ("BLOCK", 8), ("LISTS", 5), ("BUCKET", 500)):
+    for name, value in (("PAIRS", 2), ("ALONE", 1), ("BLOCK", 4000), ("LISTS", 5), ("BUCKET", 500)):
         monkeypatch.setattr(j, name, value)
     rng = random.Random(9)
     base = [f"t{k}" for k in range(120)]
