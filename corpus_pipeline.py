@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "gone"), "gone")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
