@@ -103,6 +103,23 @@ def test_jaccard_hot_lists(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == comp
 
 
+def test_jaccard_sketches_lose_no_pair():
+    import numpy as np
+
+    from plumbline.llm.jaccard_join import _may_be_similar, _similar, _sketch
+
+    rng, seen = np.random.default_rng(3), set()
+    for _ in range(400):
+        n = int(rng.integers(1, 600))
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[: int(n * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 3)), dtype=np.uint64)])
+        x, y = np.unique(x), np.unique(y)
+        same, may = _similar(x, y, 75, 100), _may_be_similar(_sketch(x), _sketch(y), 75, 100)
+        assert may or not same
+        seen.add((bool(same), may))
+    assert seen >= {(True, True), (False, False)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
