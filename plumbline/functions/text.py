@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
 
 
-def _stripped(x: Column) -> Column:
+def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
@@ -61,7 +61,7 @@ def section_keys(text: Column, *, collapse: bool = False) -> Column:
     White space is stripped before the closing colon is, so ``assessment :`` keeps its blank and is
     a key of its own, unless ``collapse`` (which also squeezes inner white space) is set.
     """
-    found = F.transform(F.regexp_extract_all(text, F.lit(_SECTION), F.lit(0)), lambda m: F.regexp_replace(F.lower(_stripped(m)), ":+$", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_SECTION), F.lit(0)), lambda m: F.regexp_replace(F.lower(stripped(m)), ":+$", ""))
     return F.array_distinct(F.transform(found, lambda m: F.regexp_replace(m, r"\s+", " ")) if collapse else found)
 
 
@@ -85,7 +85,7 @@ def surface_features(text: Column) -> list[Column]:
 
 def normalised_code(code: Column) -> Column:
     """Stripped, upper-cased, without dots; ``NAN``, ``NONE``, ``NULL`` and the empty string are null; leading zeros stay."""
-    c = F.upper(F.trim(F.replace(code, F.lit("."), F.lit(""))))
+    c = F.replace(F.upper(stripped(code)), F.lit("."), F.lit(""))
     return F.when(c.isin("NAN", "NONE", "NULL", ""), None).otherwise(c)
 
 

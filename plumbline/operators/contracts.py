@@ -81,9 +81,9 @@ def same_within(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequenc
     return x.join(y, list(key), "full_outer").where(bad).select(*key)
 
 
-def gate_status(overlaps: int, undefined: int) -> str:
+def gate_status(overlaps: Column, undefined: Column) -> Column:
     """The advisory gate: any overlap of splits or undefined AUROC asks for a review."""
-    return "GO" if not overlaps and not undefined else "REVIEW REQUIRED"
+    return F.when((overlaps == 0) & (undefined == 0), "GO").otherwise("REVIEW REQUIRED")
 
 
 def missing_cells(expected: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import stripped
 from plumbline.operators import cohort as op
 from plumbline.plans.base import query, table
 
@@ -158,11 +159,16 @@ def duplicate_keys(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query(r"SELECT doc_id, trim(t) AS text FROM (SELECT doc_id, nullif(CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || left(text, 30) || '  ' ELSE left(text, 30) END, 'x') AS t FROM documents) WHERE trim(t) <> ''")
+_BLANKS_SQL = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(rf"SELECT doc_id, sha256(s) AS text_sha, length(s) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '^{_BLANKS_SQL}', ''), '{_BLANKS_SQL}$', '') AS s FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN chr(160) || ' ' WHEN 1 THEN ' ' || chr(8195) || text || chr(12288) || chr(10) WHEN 2 THEN NULL ELSE text END AS t FROM documents)) WHERE s <> ''")
 def null_trim_drop(spark, d):
-    k, cutoff = F.col("doc_id") % 7, F.substring("text", 1, 30)
-    t = F.nullif(F.when(k == 0, "  ").when(k == 1, F.concat(F.lit(" "), cutoff, F.lit("  "))).otherwise(cutoff), F.lit("x"))
-    return table(spark, d, "documents").select("doc_id", F.trim(t).alias("text")).where("text is not null and text <> ''")
+    """Null, blank and padded variants of whole texts; digests stand for the texts."""
+    k = F.col("doc_id") % 7
+    t = F.when(k == 0, "\u00a0 ").when(k == 1, F.concat(F.lit(" \u2003"), "text", F.lit("\u3000\n"))).when(k == 2, None).otherwise(F.col("text"))
+    kept = table(spark, d, "documents").select("doc_id", stripped(t).alias("s")).where("s is not null and s <> ''")
+    return kept.select("doc_id", F.sha2("s", 256).alias("text_sha"), F.length("s").alias("n"))
 
 
 @query("SELECT event_id, try_cast(CASE event_id % 3 WHEN 0 THEN 'n/a' WHEN 1 THEN user_id::VARCHAR ELSE '' END AS BIGINT) AS coerced FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import calibration
@@ -19,14 +20,16 @@ def alarm_threshold(spark, d):
     return spark.createDataFrame([(n, round(float(p), 9))], "threshold int, probability double")
 
 
-@query("WITH RECURSIVE g AS (SELECT i / 20.0::DOUBLE AS p FROM range(0, 21) r(i)), b(p, k, v) AS (SELECT p, 0, pow(1 - p, 20)::DOUBLE FROM g WHERE p < 1 UNION ALL SELECT p, k + 1, v * (20 - k) / (k + 1) * p / (1 - p) FROM b WHERE k < 20), pmf AS (SELECT * FROM b UNION ALL SELECT 1.0::DOUBLE, k, CASE WHEN k = 20 THEN 1 ELSE 0 END FROM range(0, 21) r(k)), t AS (SELECT a.p AS p_pos, c.p AS p_neg, coalesce(sum(a.v * c.v) FILTER (a.k - c.k >= 6), 0) AS tail FROM pmf a, pmf c WHERE c.p >= a.p GROUP BY 1, 2) SELECT count(*) AS n_points, round(max(tail), 9) AS max_probability, count(*) FILTER (tail >= 0.05) AS n_at_or_above FROM t")
+@query("WITH RECURSIVE g AS (SELECT i / 100.0::DOUBLE AS p FROM range(0, 101) r(i)), b(p, k, v) AS (SELECT p, 0, pow(1 - p, 100)::DOUBLE FROM g WHERE p < 1 UNION ALL SELECT p, k + 1, v * (100 - k) / (k + 1) * p / (1 - p) FROM b WHERE k < 100), pmf AS (SELECT * FROM b UNION ALL SELECT 1.0::DOUBLE, k, CASE WHEN k = 100 THEN 1 ELSE 0 END FROM range(0, 101) r(k)), s AS (SELECT p, k, sum(v) OVER (PARTITION BY p ORDER BY k DESC) AS above FROM pmf), t AS (SELECT a.p AS p_pos, c.p AS p_neg, sum(c.v * a.above) AS tail FROM pmf c JOIN s a ON a.k = c.k + 13 AND c.p >= a.p GROUP BY 1, 2) SELECT (SELECT count(*) FROM g x, g y WHERE y.p >= x.p) AS n_points, round(max(tail), 9) AS max_probability, count(*) FILTER (tail >= 0.05) AS n_at_or_above FROM t")
 def null_grid(spark, d):
-    """The directional null (p_neg >= p_pos) on a grid: pmf tables joined on the difference of counts."""
-    n, threshold, steps = 20, 6, 20
+    """The directional null (p_neg >= p_pos) on a grid of 101 x 101 points, n = 100 an arm: one arm's pmf joined with the other's survival."""
+    n, steps = 100, 100
+    threshold = calibration.alarm_threshold(n)[0]
     pmf = spark.createDataFrame([(i / steps, k, v) for i in range(steps + 1) for k, v in enumerate(calibration.binomial_pmf(n, i / steps))], "p double, k int, v double")
-    a, b = pmf.toDF("p_pos", "ka", "va"), pmf.toDF("p_neg", "kb", "vb")
-    tails = a.join(F.broadcast(b), F.col("p_neg") >= F.col("p_pos")).groupBy("p_pos", "p_neg").agg(F.sum(F.when(F.col("ka") - F.col("kb") >= threshold, F.col("va") * F.col("vb")).otherwise(0.0)).alias("tail"))
-    return tails.agg(F.count("*").alias("n_points"), F.round(F.max("tail"), 9).alias("max_probability"), F.count_if(F.col("tail") >= 0.05).alias("n_at_or_above"))
+    above = pmf.withColumn("above", F.sum("v").over(Window.partitionBy("p").orderBy(F.col("k").desc())))
+    a, b = above.select(F.col("p").alias("p_pos"), (F.col("k") - threshold).alias("k"), "above"), pmf.toDF("p_neg", "k", "v")  # 10,201 fixed rows each
+    tails = b.join(F.broadcast(a), "k").where("p_neg >= p_pos").groupBy("p_pos", "p_neg").agg(F.sum(F.col("v") * F.col("above")).alias("tail"))
+    return tails.agg(F.lit((steps + 1) * (steps + 2) // 2).cast("long").alias("n_points"), F.round(F.max("tail"), 9).alias("max_probability"), F.count_if(F.col("tail") >= 0.05).alias("n_at_or_above"))
 
 
 @query("WITH a AS (SELECT user_id, event_id AS chosen FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), b AS (SELECT user_id, event_id AS chosen FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 0 ELSE 1 END, event_id DESC) = 1) SELECT count(*) AS n, count(*) FILTER (a.chosen <> b.chosen) AS n_changed, round(100.0 * count(*) FILTER (a.chosen <> b.chosen) / count(*), 6) AS pct_changed FROM a JOIN b USING (user_id)")
@@ -64,11 +67,21 @@ def grid_completeness(spark, d):
     return contracts.missing_cells(grid, docs.join(table(spark, d, "labels").where("toxic = 1"), "doc_id"), ["lang", "source"])
 
 
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) = count(*) AS is_unique, count(*) FILTER (text IS NULL) AS n_null_text, min(doc_id) AS lo, max(doc_id) AS hi, CASE WHEN count(DISTINCT doc_id) = count(*) THEN 'GO' ELSE 'REVIEW REQUIRED' END AS status FROM documents")
+@query("WITH s AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM documents), o AS (SELECT count(*) AS id_overlap FROM (SELECT doc_id FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)), u AS (SELECT count(*) AS subject_overlap FROM (SELECT source FROM s WHERE source IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)), c AS (SELECT count(*) FILTER (lo = hi) AS undefined FROM (SELECT lang, split, min(toxic) AS lo, max(toxic) AS hi FROM s JOIN labels USING (doc_id) GROUP BY 1, 2)) SELECT n, id_overlap, subject_overlap, undefined, CASE WHEN id_overlap + subject_overlap + undefined = 0 THEN 'GO' ELSE 'REVIEW REQUIRED' END AS status FROM (SELECT count(*) AS n FROM documents), o, u, c")
 def contract_report(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").isNull().alias("no_text"))
-    r = docs.agg(F.count("*").alias("n"), (F.count_distinct("doc_id") == F.count("*")).alias("is_unique"), F.count_if("no_text").alias("n_null_text"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return r.withColumn("status", F.when(F.col("is_unique"), "GO").otherwise("REVIEW REQUIRED"))
+    """The advisory gate: ids or subjects (here sources) in both splits, and codes (here languages) whose AUROC is undefined in a split."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test").alias("split"))
+
+    def shared(key):
+        return docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split").alias("k")).where("k > 1").agg(F.count("*").alias(f"{key}_overlap"))
+
+    cells = docs.join(table(spark, d, "labels"), "doc_id").groupBy("lang", "split").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
+    undefined = cells.agg(F.count_if(F.col("lo") == F.col("hi")).alias("undefined"))
+    row = docs.agg(F.count("*").alias("n"))
+    for one in (shared("doc_id"), shared("source"), undefined):
+        row = row.crossJoin(F.broadcast(one))  # one row each
+    row = row.withColumnsRenamed({"doc_id_overlap": "id_overlap", "source_overlap": "subject_overlap"})
+    return row.withColumn("status", contracts.gate_status(F.col("id_overlap") + F.col("subject_overlap"), F.col("undefined")))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY time_bucket(INTERVAL '6 hours', ts), event_type")

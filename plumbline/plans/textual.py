@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as tx
 from plumbline.plans.base import query, table
 
+#: A note with so many sections counts as sectioned.
+SECTIONED = 4
+
 _MARK_SQL = r"""marked AS (SELECT doc_id, lang, source, CASE doc_id % 6
   WHEN 0 THEN E'History of Present Illness:\nwell PHI\n' WHEN 1 THEN E'Assessment :\nx ______ y\nassessment:\n' WHEN 2 THEN E'Planned visit\n  PLAN: [**a**] 12\n'
-  WHEN 3 THEN E'\n\nHospital Course by 3 systems\nhospital course:\n' WHEN 4 THEN E'cc: [**b c**]\nPMH\n' ELSE '' END ||
+  WHEN 3 THEN E'\n\nHospital Course by 3 systems\nhospital course:\n' WHEN 4 THEN E'cc: [**b c**]\nPMH\n' ELSE E'HPI\nPMH:\nassessment\nPlan:\nchief complaint\n' END ||
   regexp_replace(regexp_replace(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+', '[**Email**]', 'g'), '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', '____', 'g') AS text FROM documents)"""
 _HEADERS_SQL = "(?:" + "|".join(tx.SECTION_HEADERS) + ")"
 _TOKENS_SQL = r"list_filter(regexp_split_to_array(s, '[\s\x0b\x1c-\x1f\x85\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]+'), lambda x: x <> '')"
@@ -31,7 +34,7 @@ def _marked(spark, d):
     k = F.col("doc_id") % 6
     head = (
         F.when(k == 0, "History of Present Illness:\nwell PHI\n").when(k == 1, "Assessment :\nx ______ y\nassessment:\n").when(k == 2, "Planned visit\n  PLAN: [**a**] 12\n")
-        .when(k == 3, "\n\nHospital Course by 3 systems\nhospital course:\n").when(k == 4, "cc: [**b c**]\nPMH\n").otherwise("")
+        .when(k == 3, "\n\nHospital Course by 3 systems\nhospital course:\n").when(k == 4, "cc: [**b c**]\nPMH\n").otherwise("HPI\nPMH:\nassessment\nPlan:\nchief complaint\n")
     )
     body = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", "[**Email**]"), r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "____")
     return table(spark, d, "documents").select("doc_id", "lang", "source", F.concat(head, body).alias("text"))
@@ -41,22 +44,22 @@ def _features(spark, d):
     return _marked(spark, d).select("doc_id", "lang", "source", *tx.surface_features(F.col("text")))
 
 
-@query(f"WITH {_MARK_SQL}, {_FEATURES_SQL} SELECT doc_id, length, n_tokens, n_sections, round(numeric_density, 6) AS numeric_density FROM feat")
+@query(f"WITH {_MARK_SQL}, {_FEATURES_SQL} SELECT doc_id, length, n_tokens, n_sections, round(numeric_density, 6) AS numeric_density, round(phi_density, 6) AS phi_density FROM feat")
 def doc_features(spark, d):
-    return _features(spark, d).select("doc_id", "length", "n_tokens", "n_sections", F.round("numeric_density", 6).alias("numeric_density"))
+    return _features(spark, d).select("doc_id", "length", "n_tokens", "n_sections", F.round("numeric_density", 6).alias("numeric_density"), F.round("phi_density", 6).alias("phi_density"))
 
 
-_PERIOD_SQL = f"WITH {_MARK_SQL}, {_FEATURES_SQL}, p AS (SELECT lang AS period, count(*) AS n_notes, avg(length) AS mean_length, stddev_pop(length) AS std_length, avg((n_sections >= 1)::INT) AS section_rate, avg(n_sections) AS mean_sections, avg(numeric_density) AS numeric_density FROM feat GROUP BY 1)"
+_PERIOD_SQL = f"WITH {_MARK_SQL}, {_FEATURES_SQL}, p AS (SELECT lang AS period, count(*) AS n_notes, avg(length) AS mean_length, stddev_pop(length) AS std_length, avg((n_sections >= 4)::INT) AS section_rate, avg(n_sections) AS mean_sections, avg(numeric_density) AS numeric_density, avg(phi_density) AS phi_density FROM feat GROUP BY 1)"
 
 
 def _periods(spark, d):
     return _features(spark, d).groupBy(F.col("lang").alias("period")).agg(
-        F.count("*").alias("n_notes"), F.avg("length").alias("mean_length"), F.stddev_pop("length").alias("std_length"), F.avg((F.col("n_sections") >= 1).cast("int")).alias("section_rate"),
-        F.avg("n_sections").alias("mean_sections"), F.avg("numeric_density").alias("numeric_density"),
+        F.count("*").alias("n_notes"), F.avg("length").alias("mean_length"), F.stddev_pop("length").alias("std_length"), F.avg((F.col("n_sections") >= SECTIONED).cast("int")).alias("section_rate"),
+        F.avg("n_sections").alias("mean_sections"), F.avg("numeric_density").alias("numeric_density"), F.avg("phi_density").alias("phi_density"),
     )
 
 
-@query(_PERIOD_SQL + " SELECT period, n_notes, round(mean_length, 6) AS mean_length, round(std_length, 6) AS std_length, round(section_rate, 6) AS section_rate, round(mean_sections, 6) AS mean_sections, round(numeric_density, 6) AS numeric_density FROM p")
+@query(_PERIOD_SQL + " SELECT period, n_notes, round(mean_length, 6) AS mean_length, round(std_length, 6) AS std_length, round(section_rate, 6) AS section_rate, round(mean_sections, 6) AS mean_sections, round(numeric_density, 6) AS numeric_density, round(phi_density, 6) AS phi_density FROM p")
 def surface_by_period(spark, d):
     p = _periods(spark, d)
     return p.select("period", "n_notes", *[F.round(c, 6).alias(c) for c in p.columns[2:]])
@@ -130,11 +133,13 @@ def token_windows(spark, d):
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size("w").alias("n_windows"), F.when(F.size("w") > 0, F.size(F.element_at("w", F.size("w")))).otherwise(0).alias("last_size"))
 
 
-@query(r"WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 20)) AS chunk FROM documents WHERE doc_id % 5 = 0), j AS (SELECT doc_id, chunk, list_distinct(regexp_extract_all(lower(chunk), '[a-z]{3,}')) AS v FROM s), b AS (SELECT list(word) AS h FROM (SELECT word FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM documents) GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 500)), o AS (SELECT doc_id, CASE WHEN len(v) = 0 THEN 0.0 ELSE len(list_intersect(v, h)) / (len(v) + 500 - len(list_intersect(v, h))) END AS jac FROM j, b), q AS (SELECT quantile_cont(jac, 0.9) AS cutoff FROM o) SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (jac >= cutoff) AS n_kept, round(max(jac), 6) AS best FROM o, q GROUP BY 1")
+@query(r"WITH s AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) >= 20)) AS chunk FROM documents), j AS (SELECT doc_id, chunk, list_distinct(regexp_extract_all(lower(chunk), '[a-z]{3,}')) AS v FROM s), b AS (SELECT list(word) AS h FROM (SELECT word FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS word FROM documents) GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 500)), o AS (SELECT doc_id, CASE WHEN len(v) = 0 THEN 0.0 ELSE len(list_intersect(v, h)) / (len(v) + 500 - len(list_intersect(v, h))) END AS jac FROM j, b), q AS (SELECT quantile_cont(jac, 0.9) AS cutoff FROM o) SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (jac >= cutoff) AS n_kept, round(max(jac), 6) AS best FROM o, q GROUP BY 1")
 def chunk_overlap_filter(spark, d):
-    vocabulary = doc_freq_vocab(spark, d).agg(F.collect_list("word").alias("h"))  # 500 words
-    chunks = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.explode(F.filter(tx.sentences(F.col("text")), lambda x: F.length(x) >= 20)).alias("chunk"))
-    scored = chunks.crossJoin(F.broadcast(vocabulary)).select("doc_id", tx.jaccard(F.array_distinct(tx.words(F.col("chunk"))), F.col("h")).alias("jac"))
+    vocabulary = [r.word for r in doc_freq_vocab(spark, d).select("word").collect()]  # 500 words: membership is one hash lookup a word
+    chunks = table(spark, d, "documents").select("doc_id", F.explode(F.filter(tx.sentences(F.col("text")), lambda x: F.length(x) >= 20)).alias("chunk"))
+    words = chunks.select("doc_id", F.array_distinct(tx.words(F.col("chunk"))).alias("v"))
+    both = words.select("doc_id", F.size("v").alias("n"), F.size(F.filter("v", lambda x: x.isin(*vocabulary))).alias("k"))
+    scored = both.select("doc_id", F.when(F.col("n") == 0, 0.0).otherwise(F.col("k") / (F.col("n") + len(vocabulary) - F.col("k"))).alias("jac"))
     cutoff = scored.agg(F.percentile("jac", F.lit(0.9)).alias("cutoff"))
     return scored.crossJoin(F.broadcast(cutoff)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("jac") >= F.col("cutoff")).alias("n_kept"), F.round(F.max("jac"), 6).alias("best"))
 

@@ -123,8 +123,16 @@ def load_model(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {r["name"]: np.array(r["data"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
 
 
+def _report_rows(df: DataFrame, most: int) -> list:
+    """All rows of a report's table; a table that is too long for a report is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
+    return rows
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+    rows = _report_rows(df, most)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
@@ -133,7 +141,7 @@ def latex_table(df: DataFrame, most: int = 1000) -> str:
     def safe(v):
         return "" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))
 
-    body = " \\\\\n".join(" & ".join(safe(v) for v in r) for r in df.limit(most).collect())
+    body = " \\\\\n".join(" & ".join(safe(v) for v in r) for r in _report_rows(df, most))
     head = " & ".join(safe(c) for c in df.columns)
     return f"\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n{head} \\\\\n\\hline\n{body} \\\\\n\\end{{tabular}}"
 
