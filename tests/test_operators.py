@@ -229,3 +229,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("drift").collect())) == sorted(map(tuple, windows.windowed_drift(df, "ts", [], "value").collect()))
     windows.resumable_sink(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 48
+
+
+def test_kernel_blocks(spark, monkeypatch):
+    """Samples of many blocks give the sums of one, and more rows than any driver-side bound are no error."""
+    import numpy as np
+
+    from plumbline.operators import vectors
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    got = {r.id: (r.a, r.b) for r in vectors.kernel_means(df, "id", "v", {"a": df, "b": df.where("id < 20")}, 1.3).collect()}
+    full = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 1.3**2))
+    assert all(np.allclose(got[k], (full[k].sum(), full[k, :20].sum())) for k in range(60))
+    monkeypatch.undo()
+    many = spark.range(25_000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    assert vectors.kernel_means(many, "id", "v", {"a": many.where("id < 21000")}, 1.0).count() == 25_000
