@@ -238,6 +238,30 @@ def features(votes: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.concatenate([s, v == 1, v == 0]).astype(float)
 
 
+def newton(x: np.ndarray, y: np.ndarray, offset: np.ndarray, d: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights ``d`` of the few dense features beside a fixed offset: Newton's method on the ridge-penalised loss.
+
+    A full step can overshoot where nearly all rows are told apart, so a step is halved until the loss falls.
+    """
+
+    def loss(v: np.ndarray) -> float:
+        z = offset + x @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + RIDGE / 2 * v @ v)
+
+    now = loss(d)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(offset + x @ d, -500, 500)))
+        curve = x.T @ (x * (p * (1 - p))[:, None]) + RIDGE * np.eye(x.shape[1])
+        step = np.linalg.solve(curve, x.T @ (p - y) + RIDGE * d)
+        size = 1.0
+        while (after := loss(d - size * step)) > now and size > 1e-9:
+            size /= 2
+        if size <= 1e-9 or np.abs(size * step).max() < 1e-8:
+            break
+        d, now = d - size * step, after
+    return d
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
     """Logistic regression on soft labels; hashed weights are shrunk towards zero, so that only tokens with wide support keep one."""
     if not rows:
@@ -271,13 +295,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
             w = w - rate * g
             w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
         offset = np.bincount(row, w[column], n)
-        for _ in range(25):  # Newton's method for the few others
-            p = odds(offset + x @ d)
-            curve = x.T @ (x * (p * (1 - p))[:, None]) + RIDGE * np.eye(x.shape[1])
-            step = np.linalg.solve(curve, x.T @ (p - y) + RIDGE * d)
-            d = d - step
-            if np.abs(step).max() < 1e-6:
-                break
+        d = newton(x, y, offset, d)
     b = d[-1]
     d = d[:-1]
     weights = np.zeros(DIMENSIONS)

@@ -296,6 +296,47 @@ def test_quality(spark, judged):
     assert judge(docs.limit(0), labels).count() == 0
 
 
+def test_newton_finds_the_minimum():
+    """Also where a full step overshoots: rows that are told apart at once, beside a far offset."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for scale in (0, 5, 25):
+        x = np.column_stack([rng.random((500, 4)) > 0.8, np.ones(500)]).astype(float)
+        y = np.clip((x[:, :4].sum(axis=1) > 0).astype(float), 1e-9, 1 - 1e-9)
+        offset = scale * (2 * y - 1) * rng.random(500)
+        d = quality.newton(x, y, offset, np.full(5, 40.0))
+        p = 1 / (1 + np.exp(-(offset + x @ d)))
+        assert np.abs(x.T @ (p - y) + quality.RIDGE * d).max() < 1e-4 and np.abs(d).max() < 50
+
+
+def test_estimate_against_brute_force():
+    """The same estimates document by document, without patterns and arrays."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(8)
+    truth = [rng.random() < 0.3 for _ in range(400)]
+    votes = [[2 if rng.random() < 0.2 else int(t if rng.random() < r else not t) for r in (0.95, 0.8, 0.7)] for t in truth]
+    bad = [0.9 if 1 in v else 0.02 if 0 in v else 0.3 for v in votes]
+    for _ in range(50):
+        share = (sum(bad) + 1) / (len(votes) + 2)
+        table = []
+        for k in range(3):
+            weights = [[0.1 + sum((b if c else 1 - b) for v, b in zip(votes, bad, strict=True) if v[k] == x) for x in (0, 1)] for c in (0, 1)]
+            table.append([[w / sum(ws) for w in ws] for ws in weights])
+        new = []
+        for v in votes:
+            odds = [math.log(p) + sum(math.log(table[k][c][v[k]]) for k in range(3) if v[k] < 2) for c, p in ((0, 1 - share), (1, share))]
+            new.append(1 / (1 + math.exp(odds[0] - odds[1])))
+        bad = new
+    patterns, at, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    got_share, got_table, got = quality.estimate(patterns, counts.astype(float), rounds=50)
+    assert abs(got_share - share) < 1e-6 and np.abs(got_table - np.array(table)).max() < 1e-6
+    assert np.abs(got[at.ravel()] - np.array(bad)).max() < 1e-6
+
+
 def test_estimate_recovers_accuracies():
     import numpy as np
 
