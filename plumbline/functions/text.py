@@ -100,6 +100,25 @@ def padded(window: Column, size: int, pad: str) -> Column:
     return F.concat(window, F.array_repeat(F.lit(pad), F.greatest(F.lit(0), F.lit(size) - F.size(window))))
 
 
+def attention_mask(window: Column, size: int) -> Column:
+    """1 for the window's tokens and its two special ones, 0 for the padding up to ``size``."""
+    n = F.size(window) + 2
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(size) - n)))
+
+
+def pooling_mask(window: Column, size: int) -> Column:
+    """As the attention mask, but 0 for the special tokens at both ends too."""
+    n = F.size(window)
+    return F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(1), F.lit(size) - n - 1)))
+
+
+def masked_mean(vectors: Column, mask: Column, dimensions: int) -> Column:
+    """The mean of the vectors whose mask is 1; a mask without any fails the job."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), dimensions), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.when(F.size(kept) == 0, F.raise_error(F.lit("a window has no token to pool"))).otherwise(F.transform(total, lambda x: x / F.size(kept)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
@@ -112,5 +131,5 @@ def sentences(text: Column) -> Column:
 def spliced(text: Column, start: Column, end: Column, body: Column) -> Column:
     """``text`` with the characters [start, end) replaced; the white space around the old body is kept."""
     old = F.substr(text, start + 1, end - start)
-    lead, tail = F.regexp_extract(old, r"^\s*", 0), F.regexp_extract(old, r"\s*$", 0)
+    lead, tail = F.regexp_extract(old, r"(?U)^\s*", 0), F.regexp_extract(old, r"(?U)\s*$", 0)
     return F.concat(F.substr(text, F.lit(1), start), lead, body, tail, F.substr(text, end + 1, F.length(text)))
