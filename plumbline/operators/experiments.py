@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,31 +144,25 @@ def replacement_bodies(hosts: DataFrame, donors: DataFrame, host: str, target: s
 def greedy_hosts(candidates: DataFrame, cohort: str, subject: str, score: str, tie: str, eligible: str, n: int, seed: int = 42) -> DataFrame:
     """Per cohort: the n highest eligible rows and n of the rest in a seeded order, no subject twice over both arms.
 
-    Selection is sequential within a cohort (each choice excludes a subject), so a cohort is one
-    group; candidates are a bounded sample of a cohort. ``passed_over`` counts better rows that were
-    skipped.
+    To go down an order and skip a subject that was taken is to take the best row of each subject:
+    an aggregate and a limited window for each arm, over all candidates. ``passed_over`` counts
+    the better rows that were skipped; the few selected rows are broadcast to count them.
     """
-    schema = f"{cohort} string, {tie} long, {subject} long, arm string, selection_order int, passed_over int"
-
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, tie], ascending=[False, True]).reset_index(drop=True)
-        used, out = set(), []
-        order = np.random.default_rng([seed, len(pdf)]).permutation(len(pdf))
-        for arm, rows in (("top", range(len(pdf))), ("random", order)):
-            count = skipped = 0
-            for at in rows:
-                if count == n:
-                    break
-                r = pdf.iloc[int(at)]
-                if not r[eligible] or r[subject] in used:
-                    skipped += 1
-                    continue
-                used.add(r[subject])
-                count += 1
-                out.append((r[cohort], int(r[tie]), int(r[subject]), arm, count, skipped))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return candidates.groupBy(cohort).applyInPandas(select, schema)
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(tie).cast("string")))
+    rows = candidates.select(cohort, F.col(subject).alias("_s"), F.col(tie).alias("_t"), F.col(eligible).alias("_e"), (-F.col(score)).alias("_top"), draw.alias("_random"))
+
+    def arm(pool: DataFrame, name: str) -> DataFrame:
+        first = pool.groupBy(cohort, "_s").agg(F.min(F.struct(f"_{name}", "_t")).alias("_b"))
+        place = F.row_number().over(Window.partitionBy(cohort).orderBy("_b"))
+        found = first.withColumn("selection_order", place).where(F.col("selection_order") <= n).withColumnRenamed(cohort, "_c")
+        above = (F.col(cohort) == F.col("_c")) & (F.struct(f"_{name}", "_t") < F.col("_b"))
+        better = rows.select(cohort, f"_{name}", "_t").join(F.broadcast(found), above).groupBy("_c", "_s").agg(F.count("*").alias("_n"))
+        out = found.join(F.broadcast(better), ["_c", "_s"], "left")
+        return out.select(F.col("_c").alias(cohort), F.col("_b._t").alias(tie), F.col("_s").alias(subject), F.lit(name).alias("arm"), "selection_order", (F.coalesce("_n", F.lit(0)) - F.col("selection_order") + 1).cast("int").alias("passed_over"))
+
+    top = arm(rows.where("_e"), "top")
+    rest = rows.where("_e").join(F.broadcast(top.select(cohort, F.col(subject).alias("_s"))), [cohort, "_s"], "left_anti")
+    return top.unionByName(arm(rest, "random"))
 
 
 class HashingEncoder:

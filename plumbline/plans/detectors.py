@@ -60,7 +60,7 @@ def cross_seed_rollup(spark, d):
 @query()
 def kmeans_prototypes(spark, d):
     """Model selection by silhouette; iterative, so without a SQL form."""
-    k, _, rows = op.selected_kmeans(table(spark, d, "embeddings").orderBy("vec_id").limit(2000), "embedding", "vec_id", range(2, 5), seeds=(1,))
+    k, _, rows = op.selected_kmeans(table(spark, d, "embeddings"), "embedding", "vec_id", range(2, 11), seeds=(1,))
     return rows.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
 
 

@@ -51,7 +51,7 @@ def bootstrap_ci(spark, d):
 @query()
 def cluster_bootstrap(spark, d):
     """Seeded resamples of sources; SQL has no seeded draws of that kind."""
-    b = op.cluster_bootstrap(_rows(spark, d).where("lang = 'en'"), "source", "lang", "s", "y", 200)
+    b = op.cluster_bootstrap(_rows(spark, d).withColumn("code", F.lit("quality")), "source", "code", "s", "y", 200)
     return b.agg(F.count("*").alias("n"), F.percentile("macro_auc", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
 
 
@@ -66,3 +66,20 @@ def logistic_tune(spark, d):
     e = table(spark, d, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
     _, results, _ = op.tuned_probe(e.where("vec_id % 5 < 3"), e.where("vec_id % 5 = 3"), "embedding", "y")
     return spark.createDataFrame([(float(c), round(float(a), 4)) for c, a in results], "c double, dev_auroc double")
+
+
+@query()
+def paired_bootstrap(spark, d):
+    """Two cohorts drawn jointly by source; tests compare with a plain recomputation of each resample."""
+    rows = _rows(spark, d).withColumn("code", F.lit("quality"))
+    b = op.paired_bootstrap(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "source", "code", "s", "y", 200)
+    ci = [F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"{c}_ci") for c in ("source_auc", "target_auc", "delta")]
+    return b.agg(F.count("*").alias("n"), *ci)
+
+
+@query()
+def probe_coefficients(spark, d):
+    """One model for each of the ten labels; an iterative fit has no SQL form."""
+    e = table(spark, d, "embeddings")
+    codes = [r.label for r in e.select("label").distinct().orderBy("label").limit(100).collect()]
+    return op.coefficient_table(spark, op.one_vs_rest(e.where("vec_id % 5 < 3"), "embedding", "label", codes, 0.1))

@@ -100,12 +100,13 @@ def replacement_variants(spark, d):
     return op.replacement_bodies(hosts, donors, "host", "target").select("host", "n_chunks", "length", "complete", F.sha2("body", 256).alias("body_sha"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_type AS cohort, event_id, user_id, -value AS v, md5('42:' || event_id) AS r, event_id % 3 <> 0 AS ok FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY v, event_id) AS pv, row_number() OVER (PARTITION BY cohort ORDER BY r, event_id) AS pr FROM e),
+b AS (SELECT * FROM o WHERE ok QUALIFY row_number() OVER (PARTITION BY cohort, user_id ORDER BY pv) = 1), t AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY pv) AS k FROM b QUALIFY k <= 10),
+c AS (SELECT * FROM o WHERE ok AND NOT EXISTS (SELECT 1 FROM t WHERE t.cohort = o.cohort AND t.user_id = o.user_id) QUALIFY row_number() OVER (PARTITION BY cohort, user_id ORDER BY pr) = 1), u AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY pr) AS k FROM c QUALIFY k <= 10)
+SELECT cohort, event_id, user_id, 'top' AS arm, k AS selection_order, pv - k AS passed_over FROM t UNION ALL SELECT cohort, event_id, user_id, 'random', k, pr - k FROM u""")
 def greedy_hosts(spark, d):
     events = table(spark, d, "events").select(F.col("event_type").alias("cohort"), "event_id", "user_id", "value", (F.col("event_id") % 3 != 0).alias("eligible"))
-    from plumbline.operators.sampling import cap_per_group
-
-    return op.greedy_hosts(cap_per_group(events, "cohort", "event_id", 500, 42), "cohort", "user_id", "value", "event_id", "eligible", 10)
+    return op.greedy_hosts(events, "cohort", "user_id", "value", "event_id", "eligible", 10)
 
 
 @query()

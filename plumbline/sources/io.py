@@ -94,9 +94,29 @@ def read_latest_jsonl(spark: SparkSession, path: str, schema: str, key: str, seq
     return latest_records(spark.read.schema(schema).json(path), key, sequence)
 
 
-def append_remaining(todo: DataFrame, done_path: str, key: str, work) -> DataFrame:
-    """Does the work on rows that ``done_path`` lacks and appends the results; returns everything done. A rerun resumes."""
+def _same_run(spark: SparkSession, path: str, identity: dict) -> None:
+    """Writes what a run is, or compares it with what is written there; another run is an error."""
+    text = json.dumps(identity, sort_keys=True)
+    try:
+        known = spark.read.text(path, wholetext=True).first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = None
+    if known is None:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(path)
+    elif known.value.strip() != text:
+        raise ValueError(f"the partial results belong to another run: {known.value.strip()}, not {text}")
+
+
+def append_remaining(todo: DataFrame, done_path: str, key: str, work, identity: dict | None = None) -> DataFrame:
+    """Does the work on rows that ``done_path`` lacks and appends the results; returns everything done. A rerun resumes.
+
+    With an ``identity`` (model, settings, a digest of the manifest) only a run of the same identity resumes.
+    """
     spark = todo.sparkSession
+    if identity is not None:
+        _same_run(spark, done_path.rstrip("/") + ".identity", identity)
     try:
         done = spark.read.parquet(done_path)
         todo = todo.join(done.select(key).distinct(), key, "left_anti")
