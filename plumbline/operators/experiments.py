@@ -118,27 +118,25 @@ def replacement_bodies(hosts: DataFrame, donors: DataFrame, host: str, target: s
     """For each host, chunks of donors in a seeded order until their text reaches ``target`` characters.
 
     ``hosts (host, subject, target)`` and ``donors (subject, donor, chunk_order, chunk)``: a donor of
-    the host's own subject is never used. Hosts are a bounded selection; each is one group that
-    holds its eligible chunks. ``complete`` is false where the chunks run out or ``most_chunks`` is met.
+    the host's own subject is never used. Hosts are a bounded selection and are broadcast. A donor
+    gives one chunk at least, so the first ``most_chunks`` donors of a host's order are enough: a
+    limited window finds them before any chunk is joined. ``complete`` is false where the chunks
+    run out or ``most_chunks`` is met.
     """
-    pairs = donors.withColumnRenamed("subject", "_donor_subject").join(F.broadcast(hosts), F.col("_donor_subject") != F.col("subject"))
-    schema = f"{host} long, n_chunks int, length int, complete boolean, donors string, body string"
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, need = int(pdf[host].iloc[0]), int(pdf[target].iloc[0])
-        pdf = pdf.sort_values(["donor", "chunk_order"])
-        groups = [g for _, g in pdf.groupby("donor", sort=True)]
-        taken, names, length = [], [], 0
-        for at in np.random.default_rng([seed, key]).permutation(len(groups)):
-            for chunk in groups[at].chunk:
-                if length >= need or len(taken) >= most_chunks:
-                    break
-                length += len(chunk) + bool(taken)
-                taken.append(chunk)
-                names.append(str(groups[at].donor.iloc[0]))
-        return pd.DataFrame([(key, len(taken), length, length >= need, ",".join(dict.fromkeys(names)), "\n".join(taken))], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return pairs.groupBy(host).applyInPandas(build, schema)
+    chosen = F.broadcast(hosts.select(F.col(host).alias("_h"), F.col("subject").alias("_hs"), F.col(target).alias("_need")))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_h").cast("string"), F.col("donor").cast("string")))
+    mine = Window.partitionBy("_h")
+    places = donors.select("subject", "donor").distinct().join(chosen, F.col("subject") != F.col("_hs")).withColumn("_place", F.row_number().over(mine.orderBy(draw, "donor"))).where(F.col("_place") <= most_chunks)
+    rows = donors.withColumn("_i", F.row_number().over(Window.partitionBy("donor").orderBy("chunk_order"))).where(F.col("_i") <= most_chunks)
+    rows = rows.select("donor", "_i", "chunk").join(F.broadcast(places.select("_h", "_need", "donor", "_place")), "donor")
+    order = mine.orderBy("_place", "_i")
+    length = F.coalesce(F.sum(F.length("chunk") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)) - 1, F.lit(0))
+    taken = rows.withColumn("_at", F.row_number().over(order)).withColumn("_before", length).where((F.col("_at") <= most_chunks) & (F.col("_before") < F.col("_need")))
+    listed = taken.groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("_at", "donor", "chunk"))).alias("l"))  # most_chunks entries
+    out = hosts.select(F.col(host), F.col(target).alias("_need")).join(listed.withColumnRenamed("_h", host), host, "left")
+    body = F.coalesce(F.array_join(F.transform("l", lambda x: x["chunk"]), "\n"), F.lit(""))
+    names = F.coalesce(F.array_join(F.array_distinct(F.transform("l", lambda x: x["donor"].cast("string"))), ","), F.lit(""))
+    return out.select(host, F.when(F.col("l").isNull(), 0).otherwise(F.size("l")).alias("n_chunks"), F.length(body).alias("length"), (F.length(body) >= F.col("_need")).alias("complete"), names.alias("donors"), body.alias("body"))
 
 
 def greedy_hosts(candidates: DataFrame, cohort: str, subject: str, score: str, tie: str, eligible: str, n: int, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import detectors as op
 from plumbline.operators import vectors
+from plumbline.operators.sampling import sample_n
 from plumbline.plans.base import query, table
 
 WIDTH, SLIDE = 1000, 100
@@ -67,9 +68,10 @@ def kmeans_prototypes(spark, d):
 @query()
 def calibrated_threshold(spark, d):
     """Windows of the baseline against itself give the threshold; then the target's percentile among them."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"), "label")
-    base = vectors.collected(e.where("label < 5").orderBy("vec_id").limit(2000), "v", "vec_id")
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label")
+    # a seeded sample of the baseline is the pool, so that its size has a bound
+    base = vectors.collected(sample_n(e.where("label < 5"), "vec_id", vectors.MOST_ROWS, 42), "v", "vec_id")
     target = vectors.frechet(e.where("label < 5"), e.where("label >= 5"), "v")["distance"]
-    distances = op.calibration_distances(spark, base, base, max(10, len(base) // 4), 200)
+    distances = op.calibration_distances(spark, base, base, max(10, min(1000, len(base) // 4)), 10_000).persist()
     below = distances.agg(F.round(100 * F.avg((F.col("distance") <= target).cast("double")), 4).alias("percentile"))
     return op.trimmed_max(distances, "distance").crossJoin(below).select(F.round("threshold", 6).alias("threshold"), "n_inside", "percentile")

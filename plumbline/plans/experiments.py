@@ -90,12 +90,18 @@ def windowed_drift_batch(spark, d):
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+#: Donor reports that are drawn, the operator's own limit.
+DONOR_LIMIT = 6000
+
+
 @query()
 def replacement_variants(spark, d):
     """Seeded greedy replacement of host bodies by donor chunks."""
-    docs = table(spark, d, "documents").where("lang = 'en'")
-    hosts = docs.orderBy("doc_id").limit(20).select(F.col("doc_id").alias("host"), F.col("source").alias("subject"), F.lit(400).alias("target"))
-    reports = docs.orderBy("doc_id").limit(200).select(F.col("doc_id").alias("donor"), F.col("source").alias("subject"), F.concat(F.lit("FINDINGS: "), "text", F.lit(" IMPRESSION: none")).alias("report"))
+    from plumbline.operators.sampling import sample_n
+
+    docs = table(spark, d, "documents").where("text is not null")
+    hosts = sample_n(docs, "doc_id", 20, 42).select(F.col("doc_id").alias("host"), F.col("source").alias("subject"), F.lit(400).alias("target"))
+    reports = sample_n(docs, "doc_id", DONOR_LIMIT, 43).select(F.col("doc_id").alias("donor"), F.col("source").alias("subject"), F.concat(F.lit("FINDINGS: "), "text", F.lit(" IMPRESSION: none")).alias("report"))
     donors = op.donor_chunks(reports, "report").where("chunk is not null").drop("report")
     return op.replacement_bodies(hosts, donors, "host", "target").select("host", "n_chunks", "length", "complete", F.sha2("body", 256).alias("body_sha"))
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.operators import vectors as op
+from plumbline.operators.sampling import sample_n
 from plumbline.plans.base import query, table
 
 SIGMA = 8.0
@@ -102,7 +103,7 @@ def pca_explained(spark, d):
 @query()
 def permutation_test(spark, d):
     base, target = _sides(spark, d)
-    x, y = (op.collected(s.orderBy("vec_id").limit(1000), "embedding", "vec_id") for s in (base, target))
+    x, y = (op.collected(sample_n(s, "vec_id", 1000, 42), "embedding", "vec_id") for s in (base, target))
     r = op.permutation_test(x, y, SIGMA, spark, replicates=200)
     return _row(spark, (round(r["mmd2"], 6), r["p_value"], round(r["threshold"], 6), r["drift"]), "mmd2 double, p_value double, threshold double, drift boolean")
 
@@ -112,8 +113,8 @@ def projected_drift(spark, d):
     """The statistic on PCA coordinates, with the bandwidth from the pooled median."""
     base, target = _sides(spark, d)
     pca = op.fitted_pca(base, "embedding")
-    x, y = (op.projected(s.orderBy("vec_id").limit(2000), "embedding", pca).select("vec_id", "projected") for s in (base, target))
-    sigma = op.median_sigma(np.concatenate([op.collected(s.orderBy("vec_id").limit(250), "projected", "vec_id") for s in (x, y)]))
+    x, y = (op.projected(s, "embedding", pca).select("vec_id", "projected") for s in (base, target))
+    sigma = op.median_sigma(np.concatenate([op.collected(sample_n(s, "vec_id", 250, 42), "projected", "vec_id") for s in (x, y)]))
     return _row(spark, (int(pca["k"]), round(sigma, 6), round(op.mmd2(x, y, "vec_id", "projected", sigma), 6)), "k int, sigma double, mmd2 double")
 
 

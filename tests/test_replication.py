@@ -155,3 +155,22 @@ def test_resume_by_identity(spark, tmp_path):
     assert io.append_remaining(todo, f"{tmp_path}/done", "k", work, run).count() == 6
     with pytest.raises(ValueError, match="another run"):
         io.append_remaining(todo, f"{tmp_path}/done", "k", work, run | {"stride": 128})
+
+
+def test_replacement_order(spark):
+    from hashlib import md5
+
+    rng = np.random.default_rng(4)
+    donors = [(int(s), f"d{s}{k}", i, "x" * int(rng.integers(1, 9)) + f"{s}{k}{i}") for s in range(3) for k in range(4) for i in range(int(rng.integers(1, 4)))]
+    hosts = [(h, h % 4, need) for h, need in ((1, 20), (2, 45), (3, 10_000), (4, 0))]
+    got = {r.host: r for r in experiments.replacement_bodies(spark.createDataFrame(hosts, "host long, subject long, target int"), spark.createDataFrame(donors, "subject long, donor string, chunk_order int, chunk string"), "host", "target", most_chunks=6).collect()}
+    for h, subject, need in hosts:
+        names = sorted({d for s, d, _, _ in donors if s != subject}, key=lambda d: (md5(f"42:{h}:{d}".encode()).hexdigest(), d))
+        taken, used = [], []
+        for name in names:
+            for _, d, _, chunk in sorted(x for x in donors if x[1] == name):
+                if len("\n".join(taken)) < need and len(taken) < 6:
+                    taken.append(chunk)
+                    used.append(d)
+        body = "\n".join(taken)
+        assert (got[h].body, got[h].n_chunks, got[h].length, got[h].complete, got[h].donors) == (body, len(taken), len(body), len(body) >= need, ",".join(dict.fromkeys(used)))
