@@ -28,6 +28,10 @@ Signatures are dealt to as many buckets as the number of shingles asks for, what
 shuffle partitions is, so a task's memory has a bound. Where many sets of one component have one
 signature, a task sends it for the smallest of them only and marks it. The texts of lists that are not passed on as
 pairs, and of marked components, are read again.
+
+The rounds tell what is connected. All links lie inside components, so those of each document are
+counted there: the sets of a component are compared with one another, in blocks of bounded size, by
+products of 0-1 matrices. Copies are counted, not compared.
 """
 
 from __future__ import annotations
@@ -53,6 +57,8 @@ PER_GROUP = 4.8
 BROADCAST_ROWS = 2_000_000
 #: Sets of a list are compared in blocks of so many bytes of compressed text, some four times that in hashes.
 BLOCK = 4 << 20
+#: Links are counted in blocks of about so many shingles, and in them for so many sets and shingles of a matrix at a time.
+COUNTED, TILE, COLUMNS = 1 << 20, 256, 8192
 #: Groups whose signatures the first round takes.
 FIRST = 2
 #: Signatures of a bucket, about; and bits of a signature that are sent beside the bucket's number.
@@ -496,7 +502,8 @@ def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets:
     passes = -(-total // LISTS)
     opened = None
     for turn in range(passes):
-        mine = lists.where(F.pmod(F.xxhash64("code"), F.lit(passes)) == turn).select("code", "a")
+        # the lists of a hub go in one pass: a document has one row for each hub
+        mine = lists.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == turn).select("code", "a")
         known = [np.frombuffer(r.b, np.int64).reshape(2, -1) for r in mine.mapInArrow(pack, "b binary").toLocalIterator()]  # about LISTS rows of 16 bytes
         if not known:
             continue
@@ -582,13 +589,90 @@ def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets:
     return dealt.repartition(partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_connecting``.
+def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int) -> np.ndarray:
+    """How many elements each set of ``x`` and each of ``y`` have in common."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate(sets) for sets in (x, y)]
+    own = [np.repeat(np.arange(len(sets)), [len(h) for h in sets]) for sets in (x, y)]
+    both = np.intersect1d(*flat)
+    for lo in range(0, len(both), columns):
+        part, held = both[lo : lo + columns], []
+        for h, o, n in zip(flat, own, out.shape, strict=True):
+            at = np.searchsorted(part, h).clip(0, len(part) - 1)
+            there = part[at] == h
+            m = np.zeros((n, len(part)), np.float32)  # its sums stay whole: they are no more than columns
+            m[o[there], at[there]] = 1
+            held.append(m)
+        out += (held[0] @ held[1].T).astype(np.int64)
+    return out
+
+
+def _partners(docs: DataFrame, members: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``doc, partners``: with how many documents of other sets each of ``members (doc, comp, n, w)`` links.
+
+    There is a member for each set of a component, ``n`` the size of the set and ``w`` the number of
+    documents that have it; the table was cut.
+    """
+    spark = docs.sparkSession
+    whole = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
+    members = cut(join_hot(members, whole, ["comp"]), "partners")
+    two = members.where("sets = 2").select("doc", (F.col("all_w") - F.col("w")).alias("partners"))  # a component of two is one link
+    blocks = F.ceil(F.col("all_n") / F.lit(COUNTED)).cast("int")
+    more = cut(members.where("sets > 2").select("doc", "comp", "w", blocks.alias("blocks"), F.pmod(F.xxhash64("doc"), F.greatest(blocks, F.lit(1))).cast("int").alias("mine")), "counted")
+    texts = docs.join(F.broadcast(more) if more.count() <= BROADCAST_ROWS else more, "doc")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            z = pa.array([zip_.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], z], names=["doc", "comp", "w", "blocks", "mine", "z"])
+
+    packed = texts.select("doc", "text", "comp", "w", "blocks", "mine").mapInArrow(pack, "doc long, comp long, w long, blocks int, mine int, z binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = packed.withColumn("other", other).select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "w", "z")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(size)
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        for (_, i, j), group in groupby(rows(), key=lambda r: r[:3]):
+            group = {r[4]: (r[3], r[4], r[5], read(r[6])) for r in group}.values()  # a repeated id is one document
+            group = sorted((r for r in group if len(r[3])), key=lambda r: (len(r[3]), r[1]))
+            sides = [[r for r in group if r[0] == side] for side in (i, j)[: 1 + (i != j)]]
+            docs_, weights, lengths = ([np.array([f(r) for r in side], np.int64) for side in sides] for f in (lambda r: r[1], lambda r: r[2], lambda r: len(r[3])))
+            found = [np.zeros(len(side), np.int64) for side in sides]
+            x, y = 0, len(sides) - 1
+            for p in range(0, len(sides[x]), TILE):
+                for q in range(0 if x != y else p, len(sides[y]), TILE):
+                    a, b = slice(p, p + TILE), slice(q, q + TILE)
+                    la, lb = lengths[x][a], lengths[y][b]
+                    if den * la[-1] < num * lb[0] or den * lb[-1] < num * la[0]:
+                        continue  # sets are in the order of their sizes
+                    common = _common([r[3] for r in sides[x][a]], [r[3] for r in sides[y][b]], COLUMNS)
+                    linked = (common > 0) & (den * common >= num * (la[:, None] + lb[None, :] - common))
+                    if x == y and p == q:
+                        np.fill_diagonal(linked, False)
+                    found[x][a] += linked @ weights[y][b]
+                    if x != y or p != q:
+                        found[y][b] += linked.T @ weights[x][a]
+            for d, n in zip(docs_, found, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n)], names=["doc", "partners"])
+
+    counted = dealt.repartition(partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(compare, "doc long, partners long")
+    return cut(counted.unionByName(two).groupBy("doc").agg(F.sum("partners").alias("partners")), "partners")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_connecting, n_links``.
 
     Texts link when ``den * |A & B| >= num * |A | B|`` over their distinct word shingles;
     ``component_id`` is the smallest id reachable by links.  ``n_connecting`` counts the verified
-    links that connect the document (a copy has one, to the first of its kind); it is not the number
-    of its similar partners, as pairs inside a component are not compared.
+    links that were used to connect the document (a copy has one, to the first of its kind), and
+    ``n_links`` all documents that link with it, copies included. Without ``links`` that column, and
+    the comparisons inside components that it asks for, are left out.
     Null and blank texts have no shingles and link with nothing; a row with a null id keeps its
     ``n_shingles`` and has a null ``component_id``; rows that repeat an id count as one document.
     Further columns of ``docs`` are ignored; an empty table gives an empty result.
@@ -610,8 +694,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = cut(sent.select("sig", F.coalesce("rep", "doc").alias("b"), F.col("n").alias("nb")), "first")
     least = sent.groupBy("sig").agg(F.min(F.struct("b", "nb")).alias("hub"), F.max("b").alias("last")).where("hub.b < last").select("sig", F.col("hub.b").alias("a"), F.col("hub.nb").alias("na"))
     stars = join_hot(sent, least, ["sig"]).where(f"a < b and least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()
-    links = cut(_verified(stars, docs, size, num, den), "links")
-    comps = connected_components(links)
+    used = cut(_verified(stars, docs, size, num, den), "links")
+    comps = connected_components(used)
 
     # round 2: signatures that different components share
     buckets = max(partitions(spark), -(-(known.agg(F.sum("n")).first()[0] or 0) // BUCKET))
@@ -624,18 +708,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _verified(found.where("b is not null").select("a", "b").distinct(), docs, size, num, den)
     more = cut(more.unionByName(_open_links(found, placed, comps, buckets, common, size, num, den)).distinct(), "more")
     if not more.isEmpty():
-        links = links.unionByName(more)
+        used = used.unionByName(more)
         comps = connected_components(comps.select(F.col("comp").alias("a"), F.col("doc").alias("b")).unionByName(more))
 
     # a copy belongs where the first of its kind does
     kinds = same.groupBy("rep").agg(F.count("*").alias("copies")).join(comps.toDF("rep", "comp"), "rep", "left").select("rep", "copies", F.coalesce("comp", "rep").alias("comp"))
     kinds = cut(kinds, "kinds")
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
-    by_doc = comps.select("doc", "comp", F.lit(0).alias("links")).unionByName(join_hot(same, kinds, ["rep"]).select("doc", "comp", F.lit(1).alias("links")))
-    by_doc = by_doc.unionByName(kinds.select(F.col("rep").alias("doc"), "comp", F.col("copies").alias("links"))).unionByName(ends.select("doc", F.lit(None).cast("long").alias("comp"), "links"))
-    by_doc = by_doc.groupBy("doc").agg(F.max("comp").alias("comp"), F.sum("links").alias("links"))
-    return (
-        stats.select("doc", "n")
-        .join(by_doc, "doc", "left")
-        .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_connecting"))
-    )
+    none = F.lit(0).cast("long")
+    kinds, by_partners = kinds.withColumn("partners", none), None
+    if links:
+        members = comps.select("doc", "comp").unionByName(comps.select(F.col("comp").alias("doc"), "comp").distinct())
+        members = members.join(known.groupBy("doc").agg(F.max("n").alias("n")), "doc").join(kinds.select(F.col("rep").alias("doc"), "copies"), "doc", "left")
+        partners = _partners(docs, cut(members.select("doc", "comp", "n", (F.coalesce("copies", none) + 1).alias("w")), "members"), size, num, den)
+        kinds = cut(kinds.drop("partners").join(partners.toDF("rep", "partners"), "rep", "left").fillna(0, ["partners"]), "kinds")
+        by_partners = partners.select("doc", F.lit(None).cast("long").alias("comp"), none.alias("links"), F.col("partners").alias("all"))
+    ends = used.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
+    by_doc = comps.select("doc", "comp", none.alias("links"), none.alias("all")).unionByName(join_hot(same, kinds, ["rep"]).select("doc", "comp", F.lit(1).alias("links"), (F.col("copies") + F.col("partners")).alias("all")))
+    by_doc = by_doc.unionByName(kinds.select(F.col("rep").alias("doc"), "comp", F.col("copies").alias("links"), F.col("copies").alias("all"))).unionByName(ends.select("doc", F.lit(None).cast("long").alias("comp"), "links", none.alias("all")))
+    if by_partners is not None:
+        by_doc = by_doc.unionByName(by_partners)
+    by_doc = by_doc.groupBy("doc").agg(F.max("comp").alias("comp"), F.sum("links").alias("links"), F.sum("all").alias("all"))
+    counts = [F.coalesce("links", none).alias("n_connecting"), *([F.coalesce("all", none).alias("n_links")] if links else [])]
+    return stats.select("doc", "n").join(by_doc, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"), *counts)

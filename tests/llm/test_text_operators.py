@@ -103,6 +103,57 @@ def test_jaccard_hot_lists(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == comp
 
 
+def brute_links(rows):
+    """Of each document, how many others its set links with."""
+    sets, _ = brute_components(rows)
+    sets = {k: s for k, s in sets.items() if k is not None}
+    return {a: sum(a != b and bool(x & y) and 100 * len(x & y) >= 75 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+
+
+def test_jaccard_links(spark, rows):
+    """All links of a document are counted, also those inside a component and of copies."""
+    want = brute_links(rows)
+    for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.n_links == want.get(r.doc_id, 0)
+
+
+def test_jaccard_links_in_blocks(spark, monkeypatch):
+    import random
+
+    import plumbline.llm.jaccard_join as j
+
+    for name, value in (("COUNTED", 2000), ("TILE", 7), ("COLUMNS", 50)):
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(4)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(120):
+        t = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 5, 6))):
+            t[rng.randrange(len(t))] = f"z{rng.randrange(10**6)}"
+        rows.append((k, " ".join(t[: rng.choice((100, 120))]), "en", "s", 1))
+    want = brute_links(rows)
+    assert len(set(want.values())) > 9
+    assert {r.doc_id: r.n_links for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()} == want
+
+
+def test_jaccard_open_lists_in_passes(spark, monkeypatch):
+    """A hub's lists are compared whole, in however many passes lists are read again."""
+    import plumbline.llm.jaccard_join as j
+
+    for name, value in (("first_signatures", lambda h, num, den: h[:0]), ("PAIRS", 1), ("LISTS", 8)):  # round 1 connects nothing
+        monkeypatch.setattr(j, name, value)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}t{k}" for k in range(104)]
+        variants = [base] + [[*base[:at], f"g{g}x{at}", f"g{g}y{at}", *base[at + 2 :]] for at in (10, 25, 40, 55, 70)]
+        variants[1:] = [[*v[: at + 8], f"g{g}z{at}", *v[at + 9 :]] for v, at in zip(variants[1:], (10, 25, 40, 55, 70), strict=True)]
+        rows += [(10 * g + k, " ".join(v), "en", "s", 1) for k, v in enumerate(variants)]
+    _, comp = brute_components(rows)
+    assert set(comp.values()) == {0, 10} and brute_links(rows)[1] == 1
+    assert {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()} == comp
+
+
 def test_jaccard_sketches_lose_no_pair():
     import numpy as np
 
