@@ -35,6 +35,8 @@ STEMS, REST = (4, 5, 6, 7, 8), 6
 THRESHOLD = 0.5
 ROUNDS = 200
 L1, RATE, RIDGE = 1e-3, 0.1, 0.1
+#: Rows whose tokens the fit handles at a time.
+TRAIN_BLOCK = 200
 
 _WORD = np.zeros(256, bool)
 _WORD[65:91] = _WORD[97:123] = _WORD[0x80:] = True
@@ -142,6 +144,39 @@ def _clean_labels(labels: DataFrame) -> DataFrame:
     return both.groupBy("_doc").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))  # of several labels the stricter counts
 
 
+class _Tally:
+    """Sorted distinct tokens and in how many rows they are; of the rows only a few are held at a time."""
+
+    def __init__(self):
+        self.known, self.count, self.rows, self.held = np.empty(0, np.uint64), np.empty(0, np.int64), 0, []
+
+    def add(self, tok: np.ndarray) -> None:
+        self.rows += 1
+        self.held.append(tok)
+        if len(self.held) >= 128:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.held:
+            return
+        new, n = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held = []
+        at = np.searchsorted(self.known, new)
+        old = np.zeros(len(new), bool)
+        inside = at < len(self.known)
+        old[inside] = self.known[at[inside]] == new[inside]
+        self.count[at[old]] += n[old]
+        self.known, self.count = np.insert(self.known, at[~old], new[~old]), np.insert(self.count, at[~old], n[~old])
+
+
+def _among(tok: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places in the sorted ``known`` of the tokens that are there."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(known, tok).clip(0, len(known) - 1)
+    return at[known[at] == tok]
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A greedy cover of the toxic documents of a bounded labelled sample; see the module's text."""
     chosen = _clean_labels(labels).withColumn("_o", F.xxhash64("_doc"))
@@ -157,27 +192,36 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # rows that repeat a document are one
     rows = rows.groupBy("_doc", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     got = rows.mapInArrow(read, "toxic int, tokens binary").toLocalIterator()
-    toxic, clean = [], []
+    toxic, clean, bad = [], _Tally(), _Tally()
     for r in got:
-        (toxic if r.toxic else clean).append(np.frombuffer(r.tokens, np.uint64))
+        tok = np.frombuffer(r.tokens, np.uint64)
+        if r.toxic:
+            toxic.append(tok)
+            bad.add(tok)
+        else:
+            clean.add(tok)
+    clean.merge()
+    bad.merge()
     empty = np.empty(0, np.uint64)
-    if not toxic or not clean:
+    if not toxic or not clean.rows:
         return Lexicon((empty, empty))
-    ok, n_ok = np.unique(np.concatenate(clean), return_counts=True)
-    flat = np.concatenate(toxic)
-    doc = np.repeat(np.arange(len(toxic)), [len(t) for t in toxic])
-    known, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.searchsorted(ok, known).clip(0, len(ok) - 1)
-    in_clean = np.where(ok[place] == known, n_ok[place], 0)
-    # a token is taken only if clean documents nearly lack it
-    fit = in_clean <= 0.001 * count * len(clean) / len(toxic)
+    in_clean = np.zeros(len(bad.known), np.int64)
+    place = np.searchsorted(clean.known, bad.known).clip(0, max(0, len(clean.known) - 1))
+    if len(clean.known):
+        in_clean = np.where(clean.known[place] == bad.known, clean.count[place], 0)
     least = max(3, int(np.ceil(0.002 * len(toxic))))
+    # a token is taken only if clean documents nearly lack it; rarer ones than ``least`` never are
+    fit = (in_clean <= 0.001 * bad.count * clean.rows / len(toxic)) & (bad.count >= least)
+    known, count = bad.known[fit], bad.count[fit]
+    del clean, bad
+    found = [_among(t, known) for t in toxic]
+    at, doc = np.concatenate(found), np.repeat(np.arange(len(toxic)), [len(x) for x in found])
     order = np.argsort(at, kind="stable")
     begin = np.searchsorted(at[order], np.arange(len(known) + 1))
-    allowed, covers = fit.copy(), []
+    allowed, covers = np.ones(len(known), bool), []
     for _ in range(2):  # the second cover does without what the first has taken
         open_docs, picked, gain = np.ones(len(toxic), bool), [], np.where(allowed, count, 0)
-        while len(picked) < 200:
+        while len(picked) < 200 and len(known):
             best = int(gain.argmax())
             if gain[best] < least:
                 break
@@ -272,29 +316,39 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
     for t, _, _ in rows:
         spread[t] += 1  # of how many rows, not how often
     wide = spread >= max(5, len(rows) // 400)
-    rows = [t[wide[t]] for t, _, _ in rows]  # the others keep no weight: they go before all are put together
-    where = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
     used = np.flatnonzero(wide)
-    column = np.searchsorted(used, where)
-    del where
-    w, n, gw = np.zeros(len(used)), len(rows), np.full(len(used), 1e-8)
+    place = np.cumsum(wide, dtype=np.int32) - np.int32(1)
+    # the others keep no weight; blocks of rows keep what is computed for each token of them small
+    rows = [place[t[wide[t]]] for t, _, _ in rows]
+    blocks = [(lo, np.concatenate(rows[lo : lo + TRAIN_BLOCK]), [len(t) for t in rows[lo : lo + TRAIN_BLOCK]]) for lo in range(0, len(rows), TRAIN_BLOCK)]
+    n = len(rows)
+    del rows
+    w, gw = np.zeros(len(used)), np.full(len(used), 1e-8)
     x = np.column_stack([dense, np.ones(n)])
     d = np.zeros(x.shape[1])
 
     def odds(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def sums() -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[column], len(sizes)) for _, column, sizes in blocks])
+
+    def gradient(error: np.ndarray) -> np.ndarray:
+        g = np.zeros(len(used))
+        for lo, column, sizes in blocks:
+            np.add.at(g, column.astype(np.intp), np.repeat(error[lo : lo + len(sizes)], sizes))
+        return g
+
     for turn in range(2):
         fixed = x @ d if turn else np.full(n, np.log(y.mean().clip(1e-3, 0.999) / (1 - y.mean().clip(1e-3, 0.999))))
         for _ in range(80):  # shrunken steps for the hashed weights
-            error = (odds(fixed + np.bincount(row, w[column], n)) - y) / n
-            g = np.bincount(column, error[row], len(used))
+            error = (odds(fixed + sums()) - y) / n
+            g = gradient(error)
             gw += g * g
             rate = RATE / np.sqrt(gw)
             w = w - rate * g
             w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-        offset = np.bincount(row, w[column], n)
+        offset = sums()
         d = newton(x, y, offset, d)
     b = d[-1]
     d = d[:-1]

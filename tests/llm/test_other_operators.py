@@ -427,3 +427,34 @@ def test_pipeline(spark, tmp_path, judged):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path)).select(at.columns)
     assert ({r[0] for r in clean} & kept) - {clean[5][0]} <= {r.doc_id for r in at.select("doc_id").collect()}
+
+
+def test_quality_fit_holds_few_bytes_a_token():
+    """The driver fits on a bounded sample; what it holds beside the sample is a few bytes for each of its tokens."""
+    import tracemalloc
+
+    import numpy as np
+
+    from plumbline.llm.quality import DIMENSIONS, train
+
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.zipf(1.2, 1500) % DIMENSIONS).astype(np.uint32), rng.random(28), float(k % 5 == 0)) for k in range(2000)]
+    tracemalloc.start()
+    train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * DIMENSIONS * 3 + 12 * sum(len(t) for t, _, _ in rows)
+
+
+def test_quality_tally():
+    import numpy as np
+
+    from plumbline.llm.quality import _Tally
+
+    rng, tally = np.random.default_rng(3), _Tally()
+    rows = [np.unique(rng.integers(0, 3000, 40)).astype(np.uint64) for _ in range(300)]
+    for r in [*rows, np.empty(0, np.uint64)]:
+        tally.add(r)
+    tally.merge()
+    known, count = np.unique(np.concatenate(rows), return_counts=True)
+    assert tally.rows == 301 and np.array_equal(tally.known, known) and np.array_equal(tally.count, count)
