@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, lean
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +38,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     join that Spark can split. Lineage is cut in the shared folder after each round.
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = cut(edges.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    edges = cut(edges.mapInArrow(lean(_forest), "a long, b long").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         # large star: larger neighbours of a document are sent to its smallest neighbour

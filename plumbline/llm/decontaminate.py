@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import _LOWER, cut, span_hashes, spans
+from plumbline.llm.common import _LOWER, cut, lean, span_hashes, spans
 
 WINDOW = 10
 BLOCK = 200_000
@@ -92,7 +92,7 @@ def _counted(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["word", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select(text_col).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.word] = r.n  # at most one row for each word of the block
     return out
 
@@ -186,7 +186,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         second = T.StructField("n_words", T.LongType()) if last else T.StructField("text", T.StringType())
         schema = T.StructType([kept, second, T.StructField("hit", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
-        step, first = step.mapInArrow(apply, schema), False
+        step, first = step.mapInArrow(lean(apply), schema), False
         if not last:
             step = cut(step, "decontaminate")
         block = following

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, dealing_keys, join_hot, mix, partitions, shingle_hashes
+from plumbline.llm.common import cut, dealing_keys, join_hot, lean, mix, partitions, shingle_hashes
 from plumbline.llm.components import connected_components
 
 SIZE = 5
@@ -234,7 +234,7 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["h"])
 
-    packed = found.where(F.col("n") >= least).select("h").limit(COMMON_ROWS).mapInArrow(pack, "h binary")
+    packed = found.where(F.col("n") >= least).select("h").limit(COMMON_ROWS).mapInArrow(lean(pack), "h binary")
     return np.sort(np.frombuffer(b"".join(bytes(r.h) for r in packed.toLocalIterator()), np.int64).astype(np.uint64))
 
 
@@ -397,7 +397,7 @@ def _of(docs: DataFrame, wanted: DataFrame, form, name: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress(form(t.as_py())) for t in batch.column(1)], pa.binary())], names=["doc", "z"])
 
-    packed = docs.join(side, "doc", "left_semi").mapInArrow(pack, "doc long, z binary")
+    packed = docs.join(side, "doc", "left_semi").mapInArrow(lean(pack), "doc long, z binary")
     return cut(packed.groupBy("doc").agg(F.max("z").alias("z")), name)  # rows that repeat an id are one
 
 
@@ -457,7 +457,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
                         b.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        return rows.mapInArrow(compare, "a long, b long")
+        return rows.mapInArrow(lean(compare), "a long, b long")
 
     def ends(rows: DataFrame) -> DataFrame:
         return cut(rows.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
@@ -477,7 +477,7 @@ def _ids(blobs: DataFrame) -> DataFrame:
             for blob in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob.as_buffer(), np.int64))], names=["doc"])
 
-    return blobs.mapInArrow(explode, "doc long").distinct()
+    return blobs.mapInArrow(lean(explode), "doc long").distinct()
 
 
 def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets: int, common, size: int, num: int, den: int) -> DataFrame:
@@ -504,7 +504,7 @@ def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets:
     for turn in range(passes):
         # the lists of a hub go in one pass: a document has one row for each hub
         mine = lists.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == turn).select("code", "a")
-        known = [np.frombuffer(r.b, np.int64).reshape(2, -1) for r in mine.mapInArrow(pack, "b binary").toLocalIterator()]  # about LISTS rows of 16 bytes
+        known = [np.frombuffer(r.b, np.int64).reshape(2, -1) for r in mine.mapInArrow(lean(pack), "b binary").toLocalIterator()]  # about LISTS rows of 16 bytes
         if not known:
             continue
         known = np.concatenate(known, axis=1)
@@ -527,7 +527,7 @@ def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["hub", "doc", "comp", "lists", "z"])
 
-        got = placed.select("doc", "text", "comp").mapInArrow(members, "hub long, doc long, comp long, lists binary, z binary")
+        got = placed.select("doc", "text", "comp").mapInArrow(lean(members), "hub long, doc long, comp long, lists binary, z binary")
         opened = got if opened is None else opened.unionByName(got)
     if opened is None:
         return found.select("a", "b").limit(0)
@@ -586,7 +586,7 @@ def _open_links(found: DataFrame, placed: DataFrame, comps: DataFrame, buckets:
                 both = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    return dealt.repartition(partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition(partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int) -> np.ndarray:
@@ -627,7 +627,7 @@ def _partners(docs: DataFrame, members: DataFrame, size: int, num: int, den: int
             z = pa.array([zip_.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], z], names=["doc", "comp", "w", "blocks", "mine", "z"])
 
-    packed = texts.select("doc", "text", "comp", "w", "blocks", "mine").mapInArrow(pack, "doc long, comp long, w long, blocks int, mine int, z binary")
+    packed = texts.select("doc", "text", "comp", "w", "blocks", "mine").mapInArrow(lean(pack), "doc long, comp long, w long, blocks int, mine int, z binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = packed.withColumn("other", other).select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "w", "z")
 
@@ -661,7 +661,7 @@ def _partners(docs: DataFrame, members: DataFrame, size: int, num: int, den: int
             for d, n in zip(docs_, found, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(n)], names=["doc", "partners"])
 
-    counted = dealt.repartition(partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(compare, "doc long, partners long")
+    counted = dealt.repartition(partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(lean(compare), "doc long, partners long")
     return cut(counted.unionByName(two).groupBy("doc").agg(F.sum("partners").alias("partners")), "partners")
 
 
@@ -679,7 +679,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    survey = cut(docs.mapInArrow(_surveyor(size, num, den), _SURVEY), "survey")
+    survey = cut(docs.mapInArrow(lean(_surveyor(size, num, den)), _SURVEY), "survey")
     stats = survey.where("kind = 0").select(F.col("a").alias("doc"), "n", "h1", "h2")
     common = spark.sparkContext.broadcast(common_shingles(survey.where("kind = 1").select(F.col("h1").alias("h"), "n")))
 
@@ -703,8 +703,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = cut(comps.select("doc", "comp", F.lit(False).alias("copy")).unionByName(same.select("doc", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("copy"))), "place")
     few = place.count() <= BROADCAST_ROWS
     placed = docs.where("doc is not null").join(F.broadcast(place) if few else place, "doc", "left").where("copy is null or not copy").select("doc", "text", F.coalesce("comp", "doc").alias("comp"))
-    emitted = placed.mapInArrow(_emitter(keys, size, num, den, common), "bucket int, blob binary")
-    found = cut(emitted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_reducer(keys, num, den), _CROSSING), "crossing")
+    emitted = placed.mapInArrow(lean(_emitter(keys, size, num, den, common)), "bucket int, blob binary")
+    found = cut(emitted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_reducer(keys, num, den)), _CROSSING), "crossing")
     more = _verified(found.where("b is not null").select("a", "b").distinct(), docs, size, num, den)
     more = cut(more.unionByName(_open_links(found, placed, comps, buckets, common, size, num, den)).distinct(), "more")
     if not more.isEmpty():

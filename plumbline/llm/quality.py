@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import _LOWER, _SPACE, mix, span_hasher, spans
+from plumbline.llm.common import _LOWER, _SPACE, lean, mix, span_hasher, spans
 
 #: Bounds of what is fitted on: labelled rows for the lexicon, documents for the scorer. Both samples
 #: are the rows of smallest hash, so they do not depend on partitions or the order of rows.
@@ -191,7 +191,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows = docs.select(F.col("doc_id").cast("string").alias("_doc"), "text").join(F.broadcast(chosen.select("_doc", F.coalesce("toxic", F.lit(0)).alias("toxic"))), "_doc")
     # rows that repeat a document are one
     rows = rows.groupBy("_doc", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
-    got = rows.mapInArrow(read, "toxic int, tokens binary").toLocalIterator()
+    got = rows.mapInArrow(lean(read), "toxic int, tokens binary").toLocalIterator()
     toxic, clean, bad = [], _Tally(), _Tally()
     for r in got:
         tok = np.frombuffer(r.tokens, np.uint64)
@@ -381,7 +381,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["_doc", "v"])
 
     ids = docs.select(F.col("doc_id").cast("string").alias("_doc"), "text")
-    patterns = ids.mapInArrow(vote, "_doc string, v long").join(marks, "_doc", "left").groupBy("v", "_label").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers
+    patterns = ids.mapInArrow(lean(vote), "_doc string, v long").join(marks, "_doc", "left").groupBy("v", "_label").agg(F.count("*").alias("n")).collect()  # at most 3 ** labellers
     m = len(_SHAPES) + 2
     table = np.array([[r.v // 3**k % 3 for k in range(m)] + [2 if r._label is None else r._label] for r in patterns], np.int64).reshape(-1, m + 1)
     share, accuracy, _ = estimate(table, np.array([r.n for r in patterns], float))
@@ -399,7 +399,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("_doc", "text", F.lit(7))
     chosen = F.broadcast(ids.select(order.alias("_o")).distinct().orderBy("_o").limit(TRAIN_ROWS))
     drawn = ids.withColumn("_o", order).join(chosen, "_o").join(marks, "_doc", "left").groupBy("_o").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
-    got = drawn.select("text", "_label").mapInArrow(sample, "tokens binary, dense binary, p double").toLocalIterator()  # at most TRAIN_ROWS rows of 4 bytes a token
+    got = drawn.select("text", "_label").mapInArrow(lean(sample), "tokens binary, dense binary, p double").toLocalIterator()  # at most TRAIN_ROWS rows of 4 bytes a token
     scorer = spark.sparkContext.broadcast(train([(np.frombuffer(r.tokens, np.uint32), np.frombuffer(r.dense, float), r.p) for r in got]))
     # the row travels as one column, so that no name of its columns can clash with those used here
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
@@ -414,7 +414,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 weak.append(posterior(v))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(weak, pa.float64()), pa.array([x < THRESHOLD for x in p], pa.bool_())], names=schema.names)
 
-    return rows.mapInArrow(decide, schema)
+    return rows.mapInArrow(lean(decide), schema)
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import _LOWER, _ROLL, _SPACE, cut, dealing_keys, mix, partitions, span_hashes, spans
+from plumbline.llm.common import _LOWER, _ROLL, _SPACE, cut, dealing_keys, lean, mix, partitions, span_hashes, spans
 
 RUN, LEAST, LONG = 3, 12, 16  # RUN and LEAST below 16
 WINDOW, WORDS = 16, 36
@@ -263,8 +263,8 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     emit, find = _emitter(dealing_keys(spark, n))
     h = F.xxhash64(F.col(f"`{text_col}`"))
     usable = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), h.alias("h"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
-    found = cut(usable.mapInArrow(emit, _ROW).repartition(n, "bucket").mapInArrow(find, _ROW), "removals")
-    removals = found.select("bucket", "known").repartition(n, "bucket").mapInArrow(_merge, "doc long, h long, at binary")
+    found = cut(usable.mapInArrow(lean(emit), _ROW).repartition(n, "bucket").mapInArrow(lean(find), _ROW), "removals")
+    removals = found.select("bucket", "known").repartition(n, "bucket").mapInArrow(lean(_merge), "doc long, h long, at binary")
     # the row travels as one column, so that no name of its columns can clash with those used here
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), h.alias("h"), text.alias("text"))
@@ -297,4 +297,4 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns[chars_at] = pa.array(chars, pa.int64()).cast(columns[chars_at].type)
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=["row", "n_sentences", "n_removed"])
 
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(lean(remove), schema)

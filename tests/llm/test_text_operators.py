@@ -359,3 +359,29 @@ def test_mixing(spark, rows):
         assert abs(sum(r.taken for r in own) - target[n]) <= 3
     assert sorted(map(str, mixed(docs).collect())) == sorted(map(str, got))
     assert mixed(docs.limit(0)).count() == 0
+
+
+def test_idle_workers_hold_no_freed_memory(spark, monkeypatch):
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setitem(spark.sparkContext.environment, "PLUMBLINE_FRESH", "1")  # workers of its own
+    rng = np.random.default_rng(5)
+    texts = [(k, " ".join(f"w{x}" + "." * int(x % 9 == 0) for x in rng.integers(0, 40_000, 500))) for k in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        time.sleep(0.3)  # so that each worker takes a part
+        rss = next(line for line in open("/proc/self/status") if line.startswith("RssAnon"))
+        yield pa.RecordBatch.from_arrays([pa.array([int(rss.split()[1]) / 1024])], names=["mb"])
+
+    def most():
+        return max(r.mb for r in spark.range(0, 16, 1, 16).mapInArrow(held, "mb double").collect())
+
+    span_report(docs.limit(1)).collect()  # what is imported stays
+    before = most()
+    assert span_report(docs).count() == len(texts)
+    span_report(docs).selectExpr("sum(n_removed)").collect()
+    assert most() < before + 30
