@@ -54,7 +54,9 @@ def witness_scores(spark, d):
 @query(f"WITH {_E}, m AS (SELECT x AS f, g.mult, 0 AS z FROM (VALUES (1)) v(x), (VALUES (0.5), (1.0), (2.0)) g(mult)), k AS (SELECT mult, a.base AS x, b.base AS y, avg(exp(-{_D} / (2 * {SIGMA} * {SIGMA} * mult * mult))) AS k FROM e a, e b, m WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3) SELECT mult::DOUBLE AS multiplier, round(max(k) FILTER (x AND y) + max(k) FILTER (NOT x AND NOT y) - 2 * max(k) FILTER (x AND NOT y), 6) AS mmd2 FROM k GROUP BY 1")
 def sensitivity_bandwidth(spark, d):
     base, target = _sides(spark, d)
-    return spark.createDataFrame([(m, round(op.mmd2(base, target, "vec_id", "embedding", SIGMA * m), 6)) for m in (0.5, 1.0, 2.0)], "multiplier double, mmd2 double")
+    multipliers = (0.5, 1.0, 2.0)
+    found = op.mmd2_grid([base], target, "vec_id", "embedding", [SIGMA * m for m in multipliers])[0]
+    return spark.createDataFrame([(m, round(v, 6)) for m, v in zip(multipliers, found, strict=True)], "multiplier double, mmd2 double")
 
 
 @query("SELECT count(*) AS n, 0::BIGINT AS n_nonfinite, count(*) FILTER (list_max(list_transform(embedding, lambda x: abs(x))) = 0) AS n_zero, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) AS max_abs FROM embeddings")

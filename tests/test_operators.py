@@ -247,3 +247,32 @@ def test_kernel_blocks(spark, monkeypatch):
     monkeypatch.undo()
     many = spark.range(25_000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
     assert vectors.kernel_means(many, "id", "v", {"a": many.where("id < 21000")}, 1.0).count() == 25_000
+
+
+def _shuffled_mb(spark, run):
+    """MB that a run writes to shuffles, by the status of its stages."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    run()
+    return (written() - before) / 1e6
+
+
+def test_kernel_grid_shuffle_follows_rows(spark, monkeypatch):
+    """Each row is shuffled a fixed number of times, however many blocks there are and bandwidths are asked for."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 300, raising=False)
+    rows = spark.range(0, 4000, 1, 4).select("id", F.array(*[F.rand(k) for k in range(16)]).alias("v")).localCheckpoint()
+    x, y = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+    grid = []
+    mb = _shuffled_mb(spark, lambda: grid.extend(vectors.mmd2_grid([x], y, "id", "v", [0.5, 1.0, 2.0])[0]))
+    assert mb < 4 * 4000 * 16 * 8 / 1e6
+    a, b = (np.array([r.v for r in s.collect()]) for s in (x, y))
+    for sigma, got in zip((0.5, 1.0, 2.0), grid, strict=True):
+        xx, yy, xy = (np.exp(-((p[:, None] - q[None]) ** 2).sum(-1) / (2 * sigma**2)) for p, q in ((a, a), (b, b), (a, b)))
+        assert math.isclose(got, (xx.sum() - 2000) / (2000 * 1999) + (yy.sum() - 2000) / (2000 * 1999) - 2 * xy.mean(), abs_tol=1e-9)
