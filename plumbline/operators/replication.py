@@ -69,7 +69,7 @@ def sample_overlaps(sides: Mapping[str, DataFrame], key: str, sizes: Sequence[in
 
 def substitution(original: DataFrame, preferred: DataFrame, target: DataFrame, key: str, vector: str, sigma: float) -> dict[str, float]:
     """The statistic against either baseline, and its absolute and relative change (null if the original is zero)."""
-    a, b = (vectors.mmd2(x, target, key, vector, sigma) for x in (original, preferred))
+    a, b = (v[0] for v in vectors.mmd2_grid([original, preferred], target, key, vector, [sigma]))
     return {"original": a, "preferred": b, "absolute_change": b - a, "relative_change_pct": 100 * (b - a) / a if a else None}
 
 

@@ -174,3 +174,23 @@ def test_replacement_order(spark):
                     used.append(d)
         body = "\n".join(taken)
         assert (got[h].body, got[h].n_chunks, got[h].length, got[h].complete, got[h].donors) == (body, len(taken), len(body), len(body) >= need, ",".join(dict.fromkeys(used)))
+
+
+def test_substitution_shuffles_each_row_a_few_times(spark, monkeypatch):
+    from test_operators import _shuffled_mb
+
+    from plumbline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 400)
+    rows = spark.range(0, 8000, 1, 4).select("id", F.array(*[F.rand(k) for k in range(16)]).alias("v")).localCheckpoint()
+    x, y = rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+    moved = x.withColumn("v", F.transform("v", lambda e: e + 0.5))
+    got, most = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on larger tables
+    try:
+        mb = _shuffled_mb(spark, lambda: got.update(replication.substitution(x, moved, y, "id", "v", 1.0)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert mb < 6 * 8000 * 16 * 8 / 1e6
+    a, b = (vectors.mmd2(s, y, "id", "v", 1.0) for s in (x, moved))
+    assert (got["original"], got["preferred"]) == pytest.approx((a, b), abs=1e-12)
