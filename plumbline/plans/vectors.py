@@ -28,7 +28,7 @@ def _row(spark, values, schema):
 def rbf_mean(spark, d):
     base, target = _sides(spark, d)
     sums = op.kernel_means(base, "vec_id", "embedding", {"k": target}, SIGMA)
-    return sums.agg(F.round(F.sum("k") / F.count("*") / target.count(), 6).alias("mean_kernel"))
+    return sums.agg(F.round(F.try_divide(F.avg("k"), F.lit(target.count())), 6).alias("mean_kernel"))
 
 
 @query(f"WITH {_E}, k AS (SELECT a.base AS x, b.base AS y, avg({_K}) AS m FROM e a, e b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT round(max(m) FILTER (x AND y) + max(m) FILTER (NOT x AND NOT y) - 2 * max(m) FILTER (x AND NOT y), 6) AS mmd2 FROM k")
@@ -48,7 +48,9 @@ def witness_scores(spark, d):
     base, target = _sides(spark, d)
     samples = {"t": target, "b": base}
     sums = op.kernel_means(table(spark, d, "embeddings"), "vec_id", "embedding", samples, SIGMA)
-    return sums.select("vec_id", F.round(F.col("t") / target.count() - F.col("b") / base.count(), 6).alias("witness"))
+    # a vec_id given twice has one score, the mean over its pairs; no rows, no mean
+    t, b = (F.try_divide(F.avg(c), F.lit(n)) for c, n in (("t", target.count()), ("b", base.count())))
+    return sums.groupBy("vec_id").agg(F.round(t - b, 6).alias("witness"))
 
 
 @query(f"WITH {_E}, m AS (SELECT x AS f, g.mult, 0 AS z FROM (VALUES (1)) v(x), (VALUES (0.5), (1.0), (2.0)) g(mult)), k AS (SELECT mult, a.base AS x, b.base AS y, avg(exp(-{_D} / (2 * {SIGMA} * {SIGMA} * mult * mult))) AS k FROM e a, e b, m WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3) SELECT mult::DOUBLE AS multiplier, round(max(k) FILTER (x AND y) + max(k) FILTER (NOT x AND NOT y) - 2 * max(k) FILTER (x AND NOT y), 6) AS mmd2 FROM k GROUP BY 1")

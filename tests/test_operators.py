@@ -276,3 +276,33 @@ def test_kernel_grid_shuffle_follows_rows(spark, monkeypatch):
     for sigma, got in zip((0.5, 1.0, 2.0), grid, strict=True):
         xx, yy, xy = (np.exp(-((p[:, None] - q[None]) ** 2).sum(-1) / (2 * sigma**2)) for p, q in ((a, a), (b, b), (a, b)))
         assert math.isclose(got, (xx.sum() - 2000) / (2000 * 1999) + (yy.sum() - 2000) / (2000 * 1999) - 2 * xy.mean(), abs_tol=1e-9)
+
+
+def test_row_sums_shuffle_and_python_follow_rows(spark, monkeypatch):
+    """The rows are shuffled once with their sums and the sample once; a key given twice keeps a sum for each row."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 400)
+    rows = spark.range(0, 8000, 1, 4).select("id", F.array(*[F.rand(k) for k in range(16)]).alias("v")).localCheckpoint()
+    got = []
+    assert _shuffled_mb(spark, lambda: got.extend(vectors.kernel_means(rows, "id", "v", {"a": rows}, 1.0).collect())) < 4 * 8000 * 16 * 8 / 1e6
+    x = np.array([r.v for r in rows.where("id < 50").collect()])
+    y = np.array([r.v for r in rows.collect()])
+    want = np.exp(-((x[:, None] - y[None]) ** 2).sum(-1) / 2).sum(1)
+    assert np.allclose([r.a for r in sorted(got) if r.id < 50], want) and len(got) == 8000
+    one = spark.createDataFrame([(1, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 0.0])], "id long, v array<double>")
+    assert vectors.kernel_means(one, "id", "v", {"a": one}, 1.0).count() == 3
+
+
+def test_witness_and_mean_of_odd_tables(spark, tmp_path):
+    """A vec_id given twice has one witness, the mean over its pairs; a side without rows gives null, as SQL does."""
+    import duckdb
+
+    from plumbline.plans.registry import ORACLE_SQL, QUERIES
+
+    rows = [(1, [0.0, 1.0], 0), (1, [1.0, 5.0], 1), (2, [0.0, 0.0], 7), (3, [2.0, 9.0], 8)]
+    for name, kept in (("both", rows), ("base", rows[:2]), ("target", rows[2:])):
+        spark.createDataFrame(kept, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        for query in ("witness_scores", "rbf_mean"):
+            got = sorted(map(tuple, QUERIES[query](spark, f"{tmp_path}/{name}").collect()))
+            assert got == sorted(con.sql(ORACLE_SQL[query]).fetchall()), (name, query)
