@@ -306,3 +306,10 @@ def test_witness_and_mean_of_odd_tables(spark, tmp_path):
         for query in ("witness_scores", "rbf_mean"):
             got = sorted(map(tuple, QUERIES[query](spark, f"{tmp_path}/{name}").collect()))
             assert got == sorted(con.sql(ORACLE_SQL[query]).fetchall()), (name, query)
+
+
+def test_kernel_rows_reach_python_alone(spark):
+    """What a worker's batch holds is rows of the one side, not pairs of blocks: its memory doesn't follow the samples' size."""
+    rows = spark.range(50).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    plan = vectors.kernel_means(rows, "id", "v", {"a": rows}, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan and "MapInArrow" in plan
