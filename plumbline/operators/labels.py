@@ -10,6 +10,28 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import normalised_code
 
 
+#: Rows that a task joins and counts by key, about.
+TASK_ROWS = 500_000
+#: Rows of a table that is broadcast to a join rather than dealt out.
+BROADCAST_ROWS = 500_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Dealt by the key into a task for each ``TASK_ROWS`` of ``rows``, which adaptive plans don't merge: sorts and hash tables don't grow with the input."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), key)
+
+
+def coded_members(members: DataFrame, rows: DataFrame, codes: DataFrame, key: str, code_key: str) -> tuple[DataFrame, DataFrame]:
+    """The members, and their ``rows`` with what ``codes`` holds by ``code_key``, both dealt by ``key``: later joins and counts by it stay in their tasks."""
+    n = rows.count()
+    if codes.count() > BROADCAST_ROWS:
+        rows, codes = dealt(rows, code_key, n), dealt(codes, code_key, n).hint("merge")
+    else:
+        codes = F.broadcast(codes)
+    members = dealt(members, key, n)
+    return members, members.join(dealt(rows.join(codes, code_key), key, n), key)
+
+
 def distinct_codes(rows: DataFrame, key: str, code: Column, extra: Sequence[str] = ()) -> DataFrame:
     """``key, *extra, code``: each normalised code once per key; rows without a code are left out."""
     return rows.select(key, *extra, normalised_code(code).alias("code")).where("code is not null").dropDuplicates([key, *extra, "code"])

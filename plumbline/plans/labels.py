@@ -23,12 +23,12 @@ def _members(spark, d):
 def _codes(spark, d, members):
     part = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 9 == 0, " nan ").when(F.col("p_size") % 9 == 1, "").otherwise(F.concat(F.lit(" "), "p_brand", F.lit("."))).alias("raw"))
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    return op.distinct_codes(members.join(lines, "o_orderkey").join(part, "p_partkey"), "o_orderkey", F.col("raw"), ("split",))
+    members, rows = op.coded_members(members, lines, part, "o_orderkey", "p_partkey")
+    return members, op.distinct_codes(rows, "o_orderkey", F.col("raw"), ("split",))
 
 
 def _parts(spark, d):
-    members = _members(spark, d)
-    codes = _codes(spark, d, members)
+    members, codes = _codes(spark, d, _members(spark, d))
     return members, codes, op.top_codes(codes.where("split = 'train'"), "o_orderkey", K)
 
 

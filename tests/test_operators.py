@@ -313,3 +313,23 @@ def test_kernel_rows_reach_python_alone(spark):
     rows = spark.range(50).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
     plan = vectors.kernel_means(rows, "id", "v", {"a": rows}, 1.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "collect_list" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_label_tasks_are_bounded(spark, monkeypatch, broadcast):
+    """However many orders there are, no task joins and counts many more rows than TASK_ROWS, and the counts stay."""
+    import duckdb
+
+    from plumbline.plans import labels as plans
+    from plumbline.plans.registry import ORACLE_SQL, QUERIES
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(labels, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(labels, "BROADCAST_ROWS", broadcast, raising=False)
+    codes = plans._parts(spark, data)[1]
+    assert codes.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 750
+    con = duckdb.connect()
+    for t in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name in ("code_dedup", "all_zero_count", "support_table"):
+        assert sorted(map(tuple, QUERIES[name](spark, data).collect())) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
