@@ -333,3 +333,20 @@ def test_label_tasks_are_bounded(spark, monkeypatch, broadcast):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name in ("code_dedup", "all_zero_count", "support_table"):
         assert sorted(map(tuple, QUERIES[name](spark, data).collect())) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
+def test_projected_drift_shuffles_each_row_a_few_times(spark, monkeypatch):
+    """The statistic on projected rows moves them a fixed number of times, though they are doubles from a Python function."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 400)
+    rows = spark.range(0, 8000, 1, 4).select("id", F.array(*[F.rand(k) for k in range(16)]).alias("v")).localCheckpoint()
+    pca = vectors.fitted_pca(rows.where("id % 2 = 0"), "v", target=1.0)
+    x, y = (vectors.projected(rows.where(f"id % 2 = {k}"), "v", pca) for k in (0, 1))
+    got, most = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on larger tables
+    try:
+        mb = _shuffled_mb(spark, lambda: got.append(vectors.mmd2(x, y, "id", "projected", 1.0)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert mb < 4 * 8000 * 16 * 8 / 1e6
+    # all components are kept: distances, and so the statistic, are those of the rows
+    assert math.isclose(got[0], vectors.mmd2(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "id", "v", 1.0), abs_tol=1e-9)
