@@ -350,3 +350,12 @@ def test_projected_drift_shuffles_each_row_a_few_times(spark, monkeypatch):
     assert mb < 4 * 8000 * 16 * 8 / 1e6
     # all components are kept: distances, and so the statistic, are those of the rows
     assert math.isclose(got[0], vectors.mmd2(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "id", "v", 1.0), abs_tol=1e-9)
+
+
+def test_all_zero_tasks_are_bounded(spark, monkeypatch):
+    """The anti join keeps the members as they were dealt: no task has many more of them than its share."""
+    from plumbline.plans import labels as plans
+
+    monkeypatch.setattr(labels, "TASK_ROWS", 500, raising=False)
+    zero = labels.all_zero(*plans._parts(spark, "/root/testdata/sf0.001"), "o_orderkey")
+    assert zero.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 80
