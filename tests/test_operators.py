@@ -359,3 +359,10 @@ def test_all_zero_tasks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(labels, "TASK_ROWS", 500, raising=False)
     zero = labels.all_zero(*plans._parts(spark, "/root/testdata/sf0.001"), "o_orderkey")
     assert zero.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 80
+
+
+def test_support_table_deals_its_rows(spark):
+    """The support table's codes come from dealt tasks, which adaptive plans leave as they are."""
+    from plumbline.plans.registry import QUERIES
+
+    assert "RepartitionByExpression" in QUERIES["support_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
